@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .chunkstore import op4_chunkstore
 from .decontaminate import op9_decontaminate
 from .packing import op5_packing
+from .pii import op3_pii
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_pii,
         op4_chunkstore,
         op5_packing,
         op8_toxicity,
         op9_decontaminate,
+        op10_warc,
     )
 }
 
