@@ -11,6 +11,7 @@ from .decontaminate import op9_decontaminate
 from .packing import op5_packing
 from .pii import op3_pii
 from .toxicity import op8_toxicity
+from .warc import op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
