@@ -233,3 +233,94 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def crc_of(data: bytes) -> int:
     return zlib.crc32(data)
+
+
+# ---------------------------------------------------------------- which hashes are in several documents
+
+
+class Census:
+    """Counts 64-bit hashes over a whole corpus in little room, to learn which are in two documents or in many.
+
+    A hash is known by 42 bits: its block of the filters (bits 17 to 26) and 32 more. Tasks count theirs
+    and send a block's as arrays. Hashes that share those bits count together, so the filters may hold
+    more than they should, never less.
+    """
+
+    BITS, BLOCK = 27, 17
+    SCHEMA = "part int, hashes binary, counts binary"
+
+    def __init__(self, most: int = 3_000_000):
+        self.held: list[np.ndarray] = []
+        self.size, self.most = 0, most
+
+    def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``hashes``: different ones of one document, or such runs of several in turn."""
+        self.held.append(hashes)
+        self.size += hashes.size
+        if self.size > self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        every = np.concatenate(self.held)
+        self.held, self.size = [], 0
+        part = (every >> np.uint64(self.BLOCK) & np.uint64((1 << self.BITS - self.BLOCK) - 1)) << np.uint64(32)
+        low = every & np.uint64((1 << self.BLOCK) - 1) | (every >> np.uint64(self.BITS) & np.uint64((1 << 32 - self.BLOCK) - 1)) << np.uint64(self.BLOCK)
+        known, n = np.unique(part | low, return_counts=True)
+        parts = (known >> np.uint64(32)).astype(np.int64)
+        begins = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
+        ends = np.r_[begins[1:], parts.size]
+        low, n = known.astype(np.uint32), np.minimum(n, 65535).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(parts[begins], pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())],
+            ["part", "hashes", "counts"],
+        )
+
+    @classmethod
+    def filters(cls, df: DataFrame, limits: tuple[int, ...]) -> list[BitFilter]:
+        """For each limit the filter of the hashes counted that often or more. The driver gets 16 MB a filter at most."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, hashes, counts = None, [], []
+
+            def done() -> pa.RecordBatch:
+                known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+                n = np.bincount(at, np.concatenate(counts).astype(np.float64))
+                out = []
+                for limit in limits:
+                    block = np.zeros(1 << cls.BLOCK, dtype=bool)
+                    block[known[n >= limit] & ((1 << cls.BLOCK) - 1)] = True
+                    out.append(np.packbits(block, bitorder="little").tobytes())
+                return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "blocks": pa.array([out], pa.list_(pa.binary()))})
+
+            for b in batches:
+                for p, h, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if p != part:
+                        if part is not None:
+                            yield done()
+                        part, hashes, counts = p, [], []
+                    hashes.append(np.frombuffer(h, dtype=np.uint32))
+                    counts.append(np.frombuffer(n, dtype=np.uint16))
+                    if len(hashes) > 64:
+                        known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+                        counts = [np.minimum(np.bincount(at, np.concatenate(counts).astype(np.float64)), 65535).astype(np.uint16)]
+                        hashes = [known]
+            if part is not None:
+                yield done()
+
+        n = min(partitions(df.sparkSession), 1 << cls.BITS - cls.BLOCK)
+        rows = df.repartition(n, "part").sortWithinPartitions("part").mapInArrow(count, "part int, blocks array<binary>")
+        size = 1 << cls.BLOCK - 3
+        wholes = [bytearray(1 << cls.BITS - 3) for _ in limits]
+        for r in rows.toLocalIterator():
+            for whole, block in zip(wholes, r["blocks"], strict=True):
+                whole[r["part"] * size : (r["part"] + 1) * size] = block
+        return [BitFilter(cls.BITS, bytes(w)) for w in wholes]
+
+
+def hash_of_long(x: int) -> int:
+    """As Spark's xxhash64 of one long, unsigned."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed=42)
