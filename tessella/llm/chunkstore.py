@@ -2,8 +2,9 @@
 
 Format, all files written by Spark as Parquet below one folder:
 
-``chunks/``   hash (BLAKE2b-128 of the ids as little-endian uint32), n_ids, width (bytes an id),
-              payload (the ids at that width, zstd); each different chunk once.
+``staged/kind=0/``  chunks: key (BLAKE2b-128 of the ids as little-endian uint32), n (ids), payload
+              (the ids in 2 bytes each, or 4 if the vocabulary needs it; files are zstd); each different chunk once.
+``staged/kind=1/``  the documents' recipes as tasks made them, in no order.
 ``recipes/``  documents in ascending doc_id order, file by file and row by row: doc_id, start (ids of
               all documents before it), n_tokens, chunks (their hashes in order), counts (ids of
               each), root (the Merkle root of the hashes).
@@ -29,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,26 +38,49 @@ from . import common, tokens
 END, BITS, LEAST, MOST = 1, 9, 128, 4096
 
 
-def chunk_ends(ids: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Where the chunks of a stream end."""
-    n = ids.size
-    if n <= least:
-        return [n] if n else []
-    gear = common.mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << bits) - 1)
-    rolled = gear.copy()
+_gear: list[np.ndarray] = []
+
+
+def gear(n: int) -> np.ndarray:
+    """A fixed random number for each id below ``n``."""
+    if not _gear or _gear[0].size < n:
+        _gear[:] = [common.mixed(np.arange(n, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)]
+    return _gear[0]
+
+
+def batch_ends(ids: np.ndarray, sizes: list[int], bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[list[int]]:
+    """Where the chunks of consecutive streams end, counted from each stream's start.
+
+    The hash rolls on from one stream to the next; since ``least`` exceeds its ``bits`` ids, that moves no cut.
+    """
+    mask = np.uint32((1 << bits) - 1)
+    own = gear(int(ids.max()) + 1 if ids.size else 1)[ids]
+    rolled = own.copy()
     for j in range(1, bits):
-        rolled[j:] += gear[:-j] << np.uint64(j)
-    cut = (np.flatnonzero((rolled & np.uint64((1 << bits) - 1)) == 0) + 1).tolist()
-    ends, at = [], 0
-    for c in [*cut, n]:
-        while c - at > most:
-            at += most
-            ends.append(at)
-        if c - at >= least or c == n:
-            if c > at:
-                ends.append(c)
-            at = c
-    return ends
+        rolled[j:] += own[:-j] << np.uint32(j)
+    cuts = np.flatnonzero((rolled & mask) == 0) + 1
+    ends = np.cumsum(sizes)
+    where = np.searchsorted(cuts, ends, side="left")
+    cuts = cuts.tolist()
+    out, begin, k = [], 0, 0
+    for end, to in zip(ends.tolist(), where.tolist(), strict=True):
+        found, at = [], begin
+        for c in [*cuts[k:to], end]:
+            while c - at > most:
+                at += most
+                found.append(at - begin)
+            if c - at >= least or c == end:
+                if c > at:
+                    found.append(c - begin)
+                at = c
+        out.append(found)
+        begin, k = end, to
+    return out
+
+
+def chunk_ends(ids: np.ndarray) -> list[int]:
+    """Where the chunks of one stream end."""
+    return batch_ends(ids, [ids.size])[0]
 
 
 def address(ids: bytes) -> bytes:
@@ -93,15 +116,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, last = tokens.encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
         width = "<u2" if max(coder.vocab_size, end + 1) <= 1 << 16 else "<u4"
-        press, sent = zstandard.ZstdCompressor(level=1), set()
+        size, sent = int(width[-1]), set()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(ids), 250):
                 rows = []
-                for doc, data in zip(ids[at : at + 250], coder.encode([t or "" for t in texts[at : at + 250]]), strict=True):
-                    data += last
-                    stream, begin, chunks, counts = np.frombuffer(data, dtype="<u4"), 0, [], []
-                    for to in chunk_ends(stream):
+                datas = [d + last for d in coder.encode([t or "" for t in texts[at : at + 250]])]
+                stream = np.frombuffer(b"".join(datas), dtype="<u4")
+                narrow, origin = stream.astype(width).tobytes(), 0
+                for doc, data, ends in zip(ids[at : at + 250], datas, batch_ends(stream, [len(d) // 4 for d in datas]), strict=True):
+                    begin, chunks, counts = 0, [], []
+                    for to in ends:
                         key = address(data[4 * begin : 4 * to])
                         chunks.append(key)
                         counts.append(to - begin)
@@ -109,9 +134,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
                             if len(sent) > 1_000_000:
                                 sent.clear()
                             sent.add(key)
-                            rows.append((0, key, None, to - begin, press.compress(stream[begin:to].astype(width).tobytes()), None, None))
+                            rows.append((0, key, None, to - begin, narrow[size * (origin + begin) : size * (origin + to)], None, None))
                         begin = to
-                    rows.append((1, merkle(chunks), doc, stream.size, None, chunks, counts))
+                    rows.append((1, merkle(chunks), doc, len(data) // 4, None, chunks, counts))
+                    origin += len(data) // 4
                 yield _batch(rows)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +182,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ids(payload: bytes, n: int, key: bytes) -> bytes:
-    data = zstandard.ZstdDecompressor().decompress(payload)
-    ids = np.frombuffer(data, dtype="<u2" if len(data) == 2 * n else "<u4").astype("<u4").tobytes()
+    ids = np.frombuffer(payload, dtype="<u2" if len(payload) == 2 * n else "<u4").astype("<u4").tobytes()
     if len(ids) != 4 * n or address(ids) != key:
         raise ValueError(f"chunk {key.hex()} does not hold what its address says")
     return ids

@@ -118,18 +118,25 @@ def _zero_matrices(n: int = 64) -> list[list[int]]:
 _ZEROS: list[list[list[int]]] = []
 
 
+def _byte_tables(m: list[int]) -> list[list[int]]:
+    """The map ``m`` as four tables, one for each byte of its argument."""
+    return [[_times(m, v << 8 * i) for v in range(256)] for i in range(4)]
+
+
 def crc_joined(parts: list[tuple[int, int]]) -> int:
     """CRC-32 of a byte string from (CRC-32, length) of its consecutive parts."""
     if not _ZEROS:
-        _ZEROS.extend(_zero_matrices())
+        _ZEROS.extend(map(_byte_tables, _zero_matrices(40)))
     crc = 0
     for c, n in parts:
-        k = 0
-        while n:
-            if n & 1:
-                crc = _times(_ZEROS[k], crc)
-            n >>= 1
-            k += 1
+        if crc:
+            k = 0
+            while n:
+                if n & 1:
+                    t0, t1, t2, t3 = _ZEROS[k]
+                    crc = t0[crc & 255] ^ t1[crc >> 8 & 255] ^ t2[crc >> 16 & 255] ^ t3[crc >> 24]
+                n >>= 1
+                k += 1
         crc ^= c
     return crc
 
