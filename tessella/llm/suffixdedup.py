@@ -5,12 +5,12 @@ Strings are judged on the input; matches do not cross documents.
 
 1. A string's minimizer is the least hash among the ``K``-byte strings in it, so equal strings have equal
    minimizers. Each document's different minimizers are counted over the corpus into two bitmaps of
-   fixed size: those that two documents have, and those that very many have.
-2. Consecutive strings with one shared minimizer form a segment. Tasks send each different segment once, with
-   its smallest doc_id, to the shard of its minimizer; where very many documents have a minimizer, its strings are
-   sent one by one and dealt by their own hash, which splits the shard and merges what is equal.
+   fixed size: those that two documents have, and those that very many have. Other strings repeat nothing.
+2. Consecutive strings that may repeat, with one minimizer of ``DEAL`` bytes, form a segment. Tasks send each
+   different segment once, with its smallest doc_id, to the shard of that minimizer; where very many documents
+   share, strings are sent one by one and dealt by their own hash, which splits the shard and merges what is equal.
 3. A shard sorts the suffixes of its segments (see ``induced``), and equal strings, now neighbours, get the smallest
-   doc_id among them. So for each segment it is known what goes in its first document;
+   doc_id among them. A segment alone with its minimizer needs no sorting: its strings are nowhere else. So for each segment it is known what goes in its first document;
    in any later document the whole segment goes.
 4. Documents learn this by the segment's hash, and drop the union of their ranges.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 from .induced import suffix_array
 
-LENGTH, K = 50, 20
+LENGTH, K, DEAL = 50, 32, 16
 #: A minimizer in this many documents is split by the strings themselves.
 MANY = 4096
 #: Bytes that are sorted at once where groups are small; one larger group is sorted as a whole.
@@ -56,71 +56,72 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[0][:n], _tables[1][:n]
 
 
+def _least(h: np.ndarray, w: int) -> np.ndarray:
+    """The minimum of every ``w`` consecutive values."""
+    span = 1
+    while 2 * span <= w:
+        h = np.minimum(h[: h.size - span], h[span:])
+        span *= 2
+    return np.minimum(h[: h.size - (w - span)], h[w - span :]) if w > span else h
+
+
 class Windows:
     """The strings of ``length`` bytes in several texts, and their minimizers."""
 
     def __init__(self, texts: list[bytes], length: int = LENGTH, k: int = K):
-        self.data = b"".join(texts)
+        self.data, self.length = b"".join(texts), length
         x = np.frombuffer(self.data, dtype=np.uint8)
         size = np.array([len(t) for t in texts], dtype=np.int64)
         self.begin = np.cumsum(size) - size
-        n = x.size
-        self.at = np.zeros(0, dtype=np.int64)
-        self.least = np.zeros(0, dtype=np.uint64)
-        self.doc = np.zeros(0, dtype=np.int64)
-        if n < length:
-            return
-        up, down = _powers(n)
-        with np.errstate(over="ignore"):
-            self.sums = np.r_[np.uint64(0), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)]
-            h = common.mixed((self.sums[k:] - self.sums[:-k]) * down[: n - k + 1])
-        span, w = 1, length - k + 1
-        while 2 * span <= w:
-            h = np.minimum(h[: h.size - span], h[span:])
-            span *= 2
-        h = np.minimum(h[: h.size - (w - span)], h[w - span :]) if w > span else h
         counts = np.maximum(size - length + 1, 0)
-        first = np.repeat(self.begin, counts)
-        inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.at = first + inside  # where each string starts in data
+        self.at = np.repeat(self.begin - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))  # where each string starts in data
+        self.least = np.zeros(0, dtype=np.uint64)
         self.doc = np.repeat(np.arange(size.size), counts)
-        self.least = h[self.at]
-        self.length = length
+        if self.at.size:
+            up, self.down = _powers(x.size)
+            with np.errstate(over="ignore"):
+                self.sums = np.r_[np.uint64(0), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)]
+            self.least = self._minimizers(k)[self.at]
+
+    def _minimizers(self, k: int) -> np.ndarray:
+        return _least(self._hashes(np.arange(len(self.data) - k + 1), k), self.length - k + 1)
+
+    def _hashes(self, at: np.ndarray, k: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return common.mixed((self.sums[at + k] - self.sums[at]) * self.down[at])
+
+    def _runs(self) -> np.ndarray:
+        """The first string of every run with one minimizer in one text."""
+        return np.flatnonzero(np.r_[True, (self.least[1:] != self.least[:-1]) | (self.doc[1:] != self.doc[:-1])])
 
     def different(self) -> np.ndarray:
         """Each text's different minimizers."""
         if not self.at.size:
             return self.least
-        new = np.r_[True, (self.least[1:] != self.least[:-1]) | (self.doc[1:] != self.doc[:-1])]
-        h, d = self.least[new], self.doc[new]
+        firsts = self._runs()
+        h, d = self.least[firsts], self.doc[firsts]
         order = np.lexsort((h, d))
         h, d = h[order], d[order]
         return h[np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]]
 
     def segments(self, shared: common.BitFilter, many: common.BitFilter) -> Iterator[tuple[int, int, int, int]]:
-        """(text, start, end, group) of maximal runs of strings with one shared minimizer; single strings where many have it."""
+        """(text, start, end, group) of maximal runs of strings that may repeat; single strings where many documents share."""
         if not self.at.size:
             return
-        new = np.r_[True, (self.least[1:] != self.least[:-1]) | (self.doc[1:] != self.doc[:-1])]
-        firsts = np.flatnonzero(new)
-        lasts = np.r_[firsts[1:], self.at.size] - 1
-        h = self.least[firsts]
-        there = shared.has(h)
-        firsts, lasts, h = firsts[there], lasts[there], h[there]
-        often = many.has(h)
-        d = self.doc[firsts]
-        start = self.at[firsts] - self.begin[d]
-        end = self.at[lasts] - self.begin[d] + self.length
-        keep = ~often
-        yield from zip(d[keep].tolist(), start[keep].tolist(), end[keep].tolist(), h[keep].view(np.int64).tolist(), strict=True)
-        if often.any():
-            one = np.concatenate([np.arange(a, b + 1) for a, b in zip(firsts[often], lasts[often], strict=True)])
-            p, d = self.at[one], self.doc[one]
-            _, down = _powers(len(self.data))
-            with np.errstate(over="ignore"):
-                group = common.mixed((self.sums[p + self.length] - self.sums[p]) * down[p])
-            start = p - self.begin[d]
-            yield from zip(d.tolist(), start.tolist(), (start + self.length).tolist(), group.view(np.int64).tolist(), strict=True)
+        firsts = self._runs()
+        there = shared.has(self.least[firsts])
+        if not there.any():
+            return
+        n = np.diff(np.r_[firsts, self.at.size])
+        often = np.repeat(there & many.has(self.least[firsts]), n)
+        one = np.flatnonzero(np.repeat(there, n))
+        often, p, d = often[one], self.at[one], self.doc[one]
+        group = self._minimizers(DEAL)[p]
+        group[often] = self._hashes(p[often], self.length)
+        new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1] + 1) | (d[1:] != d[:-1]) | (group[1:] != group[:-1]) | often[1:] | often[:-1]])
+        last = np.r_[new[1:], one.size] - 1
+        start = self.begin[d[new]]
+        yield from zip(d[new].tolist(), (p[new] - start).tolist(), (p[last] - start + self.length).tolist(), group[new].view(np.int64).tolist(), strict=True)
 
 
 def _read(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -235,27 +236,44 @@ def _sorted_shards(segments: DataFrame) -> DataFrame:
     """(key, first, ranges) of every different segment: its smallest doc_id and what goes there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone: list[tuple[bytes, int]] = []  # segments that are all of their group
         names: list[bytes] = []
         docs: list[int] = []
-        size, group = 0, None
+        begin, size, group = 0, 0, None  # the group's segments are names[begin:]
+
+        def close() -> None:
+            nonlocal begin
+            if len(names) == begin + 1:
+                alone.append((names.pop(), docs.pop()))
+            begin = len(names)
 
         def done() -> pa.RecordBatch:
-            out = [[{"a": a, "b": b} for a, b in r] for r in repeats(names, docs)]
-            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in names], pa.binary()), pa.array(docs, pa.int64()), pa.array(out, _RANGES)], ["key", "first", "ranges"])
+            out = [[{"a": a, "b": b} for a, b in r] for r in repeats(names, docs)] if names else []
+            every = [*names, *(s for s, _ in alone)]
+            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in every], pa.binary()), pa.array([*docs, *(d for _, d in alone)], pa.int64()), pa.array(out + [[]] * len(alone), _RANGES)], ["key", "first", "ranges"])
 
         for b in batches:
             for g, s, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if names and s == names[-1]:
+                if g != group:
+                    close()
+                    group = g
+                    if size > SHARD or len(alone) > 50_000:
+                        yield done()
+                        names.clear()
+                        docs.clear()
+                        alone.clear()
+                        begin = size = 0
+                elif len(names) > begin and s == names[-1]:
                     docs[-1] = min(docs[-1], d)
                     continue
-                if g != group and size > SHARD:
-                    yield done()
-                    names, docs, size = [], [], 0
-                group = g
+                elif len(names) == begin + 1:
+                    size += len(names[-1])
                 names.append(s)
                 docs.append(d)
-                size += len(s)
-        if names:
+                if len(names) > begin + 1:
+                    size += len(s)
+        close()
+        if names or alone:
             yield done()
 
     rows = segments.repartition(common.partitions(segments.sparkSession), "group").sortWithinPartitions("group", "segment")
