@@ -270,12 +270,15 @@ def classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Da
     counts = named.groupBy("shingle", "root").agg(F.count("*").alias("n"))
     split = counts.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("top")).where("k > 1").drop("k")
     named = common.stored(named.join(split, "shingle"), "shingle-split")
-    x = named.where("root <> top").select("shingle", F.col("doc").alias("x"), F.col("size").alias("m"), F.col("root").alias("p"))
-    y = named.select("shingle", F.col("doc").alias("y"), F.col("size").alias("n"), F.col("root").alias("q"), "top")
+    # a pair needs as many common postings as its sizes ask for, so neither side may have fewer in all
+    held = named.groupBy("doc").agg(F.count("*").alias("held"))
+    named = named.join(held, "doc")
+    x = named.where("root <> top").select("shingle", F.col("doc").alias("x"), F.col("size").alias("m"), F.col("root").alias("p"), F.col("held").alias("i"))
+    y = named.select("shingle", F.col("doc").alias("y"), F.col("size").alias("n"), F.col("root").alias("q"), F.col("held").alias("j"), "top")
+    reach = F.ceil(3 * (F.col("m") + F.col("n")) / 7 - F.lit(1e-9)) - F.ceil(3 * F.greatest("m", "n") / 4) + 1
     # of two documents that are both outside the largest component, the pair is met from the smaller id alone
-    met = x.join(y, "shingle").where((F.col("p") != F.col("q")) & ((F.col("q") == F.col("top")) | (F.col("x") < F.col("y"))) & _fits("m", "n"))
+    met = x.join(y, "shingle").where((F.col("p") != F.col("q")) & ((F.col("q") == F.col("top")) | (F.col("x") < F.col("y"))) & _fits("m", "n") & (F.least("i", "j") >= reach))
     met = met.groupBy("x", "y", "m", "n").agg(F.count("*").alias("c"))
-    reach = F.ceil(3 * (F.col("m") + F.col("n")) / 7 - F.lit(1e-9)) - F.ceil(3 * F.greatest("m", "n") / 4) + 1
     rest = common.stored(met.where(F.col("c") >= reach).select(F.col("x").alias("pivot"), F.col("y").alias("doc")).distinct(), "shingle-pairs")
     more = _linked(rows, rest)
 
