@@ -3,8 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import settled
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable:
+    """Registers a function of (spark, sf_dir) under its name, to run under the engine's settings."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with settled(spark):
+                df = f(spark, sf_dir)
+                _ = df.schema  # resolved under these settings
+                return df
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return run
+
+    return add
+
+
+from . import queries as _queries  # noqa: E402, F401  (fills the registries)

@@ -1 +1 @@
-"""Part of the tessella engine."""
+"""Row streams over growing folders of files."""
