@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -245,12 +245,26 @@ def crc_of(data: bytes) -> int:
 # ---------------------------------------------------------------- which hashes are in several documents
 
 
+class Levels:
+    """How common hashes are, in 4 bits for each of 2^``bits`` slots: the bit length of the count less one, at most 15.
+
+    Its size is fixed. Hashes of one slot get the level of the most common of them, so levels are at least the true ones.
+    """
+
+    def __init__(self, bits: int, data: bytes):
+        self.bits, self.map = bits, np.frombuffer(data, dtype=np.uint8)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & np.uint64((1 << self.bits) - 1)
+        return self.map[(at >> np.uint64(1)).astype(np.int64)] >> ((at & np.uint64(1)) << np.uint64(2)).astype(np.uint8) & np.uint8(15)
+
+
 class Census:
     """Counts 64-bit hashes over a whole corpus in little room, to learn which are in two documents or in many.
 
     A hash is known by 42 bits: its block of the filters (bits 17 to 26) and 32 more. Tasks count theirs
-    and send a block's as arrays. Hashes that share those bits count together, so the filters may hold
-    more than they should, never less.
+    and send a block's as arrays, the counts of those over 1 alone, which come first. Hashes that share those bits
+    count together, so the filters may hold more than they should, never less.
     """
 
     BITS, BLOCK = 27, 17
@@ -279,27 +293,27 @@ class Census:
         begins = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
         ends = np.r_[begins[1:], parts.size]
         low, n = known.astype(np.uint32), np.minimum(n, 65535).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(parts[begins], pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())],
-            ["part", "hashes", "counts"],
-        )
+        hashes, counts = [], []
+        for a, b in zip(begins, ends, strict=True):
+            many = n[a:b] > 1
+            hashes.append(np.r_[low[a:b][many], low[a:b][~many]].tobytes())
+            counts.append(n[a:b][many].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(parts[begins], pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["part", "hashes", "counts"])
 
     @classmethod
-    def filters(cls, df: DataFrame, limits: tuple[int, ...]) -> list[BitFilter]:
-        """For each limit the filter of the hashes counted that often or more. The driver gets 16 MB a filter at most."""
+    def _maps(cls, df: DataFrame, each: int, form: Callable[[np.ndarray, np.ndarray], list[bytes]], maps: int) -> list[bytes]:
+        """``form`` turns a block's slots and counts into ``maps`` byte strings of ``each`` bytes; whole maps meet on the driver."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, hashes, counts = None, [], []
 
-            def done() -> pa.RecordBatch:
+            def summed() -> tuple[np.ndarray, np.ndarray]:
                 known, at = np.unique(np.concatenate(hashes), return_inverse=True)
-                n = np.bincount(at, np.concatenate(counts).astype(np.float64))
-                out = []
-                for limit in limits:
-                    block = np.zeros(1 << cls.BLOCK, dtype=bool)
-                    block[known[n >= limit] & ((1 << cls.BLOCK) - 1)] = True
-                    out.append(np.packbits(block, bitorder="little").tobytes())
-                return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "blocks": pa.array([out], pa.list_(pa.binary()))})
+                return known, np.bincount(at, np.concatenate(counts).astype(np.float64))
+
+            def done() -> pa.RecordBatch:
+                known, n = summed()
+                return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "blocks": pa.array([form(known & ((1 << cls.BLOCK) - 1), n)], pa.list_(pa.binary()))})
 
             for b in batches:
                 for p, h, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -308,22 +322,47 @@ class Census:
                             yield done()
                         part, hashes, counts = p, [], []
                     hashes.append(np.frombuffer(h, dtype=np.uint32))
-                    counts.append(np.frombuffer(n, dtype=np.uint16))
+                    own = np.ones(hashes[-1].size, dtype=np.uint16)
+                    own[: len(n) // 2] = np.frombuffer(n, dtype=np.uint16)
+                    counts.append(own)
                     if len(hashes) > 64:
-                        known, at = np.unique(np.concatenate(hashes), return_inverse=True)
-                        counts = [np.minimum(np.bincount(at, np.concatenate(counts).astype(np.float64)), 65535).astype(np.uint16)]
-                        hashes = [known]
+                        known, total = summed()
+                        hashes, counts = [known], [np.minimum(total, 65535).astype(np.uint16)]
             if part is not None:
                 yield done()
 
         n = min(partitions(df.sparkSession), 1 << cls.BITS - cls.BLOCK)
         rows = df.repartition(n, "part").sortWithinPartitions("part").mapInArrow(count, "part int, blocks array<binary>")
-        size = 1 << cls.BLOCK - 3
-        wholes = [bytearray(1 << cls.BITS - 3) for _ in limits]
+        wholes = [bytearray(each << cls.BITS - cls.BLOCK) for _ in range(maps)]
         for r in rows.toLocalIterator():
             for whole, block in zip(wholes, r["blocks"], strict=True):
-                whole[r["part"] * size : (r["part"] + 1) * size] = block
-        return [BitFilter(cls.BITS, bytes(w)) for w in wholes]
+                whole[r["part"] * each : (r["part"] + 1) * each] = block
+        return [bytes(w) for w in wholes]
+
+    @classmethod
+    def filters(cls, df: DataFrame, limits: tuple[int, ...]) -> list[BitFilter]:
+        """For each limit the filter of the hashes counted that often or more. The driver gets 16 MB a filter at most."""
+
+        def form(slots: np.ndarray, n: np.ndarray) -> list[bytes]:
+            out = []
+            for limit in limits:
+                block = np.zeros(1 << cls.BLOCK, dtype=bool)
+                block[slots[n >= limit]] = True
+                out.append(np.packbits(block, bitorder="little").tobytes())
+            return out
+
+        return [BitFilter(cls.BITS, m) for m in cls._maps(df, 1 << cls.BLOCK - 3, form, len(limits))]
+
+    @classmethod
+    def levels(cls, df: DataFrame) -> Levels:
+        """How common every hash is. The driver gets 64 MB."""
+
+        def form(slots: np.ndarray, n: np.ndarray) -> list[bytes]:
+            block = np.zeros(1 << cls.BLOCK, dtype=np.uint8)
+            np.maximum.at(block, slots, np.minimum(np.frexp(n)[1] - 1, 15).astype(np.uint8))
+            return [(block[::2] | block[1::2] << 4).tobytes()]
+
+        return Levels(cls.BITS, *cls._maps(df, 1 << cls.BLOCK - 1, form, 1))
 
 
 def hash_of_long(x: int) -> int:

@@ -4,11 +4,13 @@ A document's set is its distinct shingles of ``WORDS`` words (the whole sequence
 Two link when their Jaccard similarity is 0.75 or more, which needs an overlap of
 T = ceil(3/7 (|x| + |y|)). The result is every document's component under all links.
 
-Candidates. Shingles have one total order: rare ones by hash, then frequent ones by hash (frequent is
-membership in a bitmap of fixed size, made from a count over the whole corpus; as an order it may
-be any set). By the prefix principle linked sets share a shingle among their first |x| - ceil(3/4 |x|) + 1,
-so only those, and of them only the ones that another document has, become postings. Putting the long lists
-last is DivideSkip's division: a set with fewer than T frequent shingles never enters a long list.
+Candidates. Shingles have one total order: by how common they are, in powers of two, then by hash (how common
+is read from a table of fixed size, made from a count over the whole corpus; as an order it may
+be any numbers). By the prefix principle linked sets share a shingle among their first |x| - ceil(3/4 |x|) + 1,
+so only those, and of them only the ones that another document has, become postings. A shingle that no other
+document has comes first and takes its place in the prefix for nothing, so texts just under the
+similarity have few postings. Putting the long lists last is DivideSkip's division: a set with fewer than T
+frequent shingles never enters a long list.
 
 Round 1 checks each document against one pivot: the first document of most of its lists. Components of
 those links collapse groups of copies. Round 2 looks only across components: in each list that more
@@ -41,8 +43,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS = 5
-#: A shingle in the prefixes of this many documents is frequent.
-FREQUENT = 24
+#: Shingles of this many documents or more are alike in the order.
+FREQUENT = 1 << 15
 #: Sets that one block of a search holds.
 BLOCK = 256
 
@@ -110,12 +112,13 @@ def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _ordered(s: np.ndarray, frequent: common.BitFilter | None) -> np.ndarray:
-    """The prefix of a sorted set in the total order."""
-    if frequent is None or not s.size:
-        return s[: prefix(s.size)]
-    f = frequent.has(s)
-    return np.r_[s[~f], s[f]][: prefix(s.size)]
+def _candidates(s: np.ndarray, levels: common.Levels, most: int) -> np.ndarray:
+    """Those of a sorted set's prefix in the total order that other sets may have."""
+    if not s.size:
+        return s
+    level = np.minimum(levels.of(s), most)
+    first = np.argsort(level, kind="stable")[: prefix(s.size)]
+    return s[first[level[first] > 0]]
 
 
 def _batches(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
@@ -132,26 +135,24 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator
             at = to
 
 
-def _census(docs: DataFrame, frequent) -> DataFrame:
+def _census(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = common.Census()
         for _, sets in _batches(batches):
             if sets:
-                yield from held.add(np.concatenate([_ordered(s, frequent and frequent.value) for s in sets]))
+                yield from held.add(np.concatenate(sets))
         yield from held.flush()
 
     return docs.mapInArrow(count, common.Census.SCHEMA)
 
 
-def _postings(docs: DataFrame, frequent, shared) -> DataFrame:
+def _postings(docs: DataFrame, levels, frequent: int) -> DataFrame:
     """(shingle, doc, size) of shared prefix shingles, and a row without shingle for every document."""
+    most = max(1, frequent.bit_length() - 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(batches):
-            kept = []
-            for i, s in zip(ids, sets, strict=True):
-                p = _ordered(s, frequent.value) if i is not None else s[:0]
-                kept.append(p[shared.value.has(p)] if p.size else p)
+            kept = [_candidates(s if i is not None else s[:0], levels.value, most) for i, s in zip(ids, sets, strict=True)]
             n = np.array([len(x) for x in kept])
             doc = pa.array(ids, pa.int64())
             sizes = np.array([s.size for s in sets], dtype=np.int32)
@@ -251,10 +252,8 @@ def classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Da
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    (often,) = common.Census.filters(_census(rows, None), (frequent,))
-    often = spark.sparkContext.broadcast(often)
-    (shared,) = common.Census.filters(_census(rows, often), (2,))
-    all_rows = common.stored(_postings(rows, often, spark.sparkContext.broadcast(shared)), "shingle-postings")
+    levels = spark.sparkContext.broadcast(common.Census.levels(_census(rows)))
+    all_rows = common.stored(_postings(rows, levels, frequent), "shingle-postings")
     posts = all_rows.where("shingle is not null")
 
     lists = posts.groupBy("shingle").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
