@@ -15,7 +15,8 @@ frequent shingles never enters a long list.
 Round 1 checks each document against one pivot: the first document of most of its lists. Components of
 those links collapse groups of copies. Round 2 looks only across components: in each list that more
 than one component has, the documents outside its largest one are set against the rest, and pairs go on whose
-number of common postings can still reach T (a prefix shingle that the other prefix lacks is a miss). Together the two
+number of common postings can still reach T (a prefix shingle that the other prefix lacks is a miss; so is one
+that no other document has). Together the two
 rounds see every pair that could join two components, so no link that matters is lost, while a group of
 copies costs its size, not its square.
 
@@ -37,7 +38,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -112,13 +113,13 @@ def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _candidates(s: np.ndarray, levels: common.Levels, most: int) -> np.ndarray:
-    """Those of a sorted set's prefix in the total order that other sets may have."""
+def _candidates(s: np.ndarray, levels: common.Levels, most: int) -> tuple[np.ndarray, int]:
+    """Those of a sorted set's prefix in the total order that other sets may have; how many of the whole set others may have."""
     if not s.size:
-        return s
+        return s, 0
     level = np.minimum(levels.of(s), most)
     first = np.argsort(level, kind="stable")[: prefix(s.size)]
-    return s[first[level[first] > 0]]
+    return s[first[level[first] > 0]], int(np.count_nonzero(level))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
@@ -147,21 +148,27 @@ def _census(docs: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, levels, frequent: int) -> DataFrame:
-    """(shingle, doc, size) of shared prefix shingles, and a row without shingle for every document."""
+    """(shingle, doc, size, live, place) of shared prefix shingles, and a row without shingle for every document.
+
+    ``live``: how many shingles of the set others may have; ``place``: how many of them come before this one.
+    """
     most = max(1, frequent.bit_length() - 1)
+    names = ["shingle", "doc", "size", "live", "place"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(batches):
-            kept = [_candidates(s if i is not None else s[:0], levels.value, most) for i, s in zip(ids, sets, strict=True)]
-            n = np.array([len(x) for x in kept])
+            found = [_candidates(s if i is not None else s[:0], levels.value, most) for i, s in zip(ids, sets, strict=True)]
+            n = np.array([x.size for x, _ in found])
             doc = pa.array(ids, pa.int64())
-            sizes = np.array([s.size for s in sets], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), doc, pa.array(sizes)], ["shingle", "doc", "size"])
+            sizes, live = np.array([s.size for s in sets], dtype=np.int32), np.array([x for _, x in found], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), doc, pa.array(sizes), pa.array(live), pa.nulls(len(ids), pa.int32())], names)
             if n.sum():
                 at = np.repeat(np.arange(len(ids)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), doc.take(pa.array(at)), pa.array(sizes[at])], ["shingle", "doc", "size"])
+                place = np.arange(at.size) - np.repeat(np.cumsum(n) - n, n)
+                shingles = np.concatenate([x for x, _ in found]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles), doc.take(pa.array(at)), pa.array(sizes[at]), pa.array(live[at]), pa.array(place.astype(np.int32))], names)
 
-    return docs.mapInArrow(emit, "shingle long, doc long, size int")
+    return docs.mapInArrow(emit, "shingle long, doc long, size int, live int, place int")
 
 
 def t_occurrence(query: np.ndarray, sets: list[np.ndarray], mu: float = 0.01) -> list[int]:
@@ -244,7 +251,11 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return common.stored(both.mapInArrow(search, "a long, b long"), "shingle-links")
 
 
-def _fits(x: str, y: str):
+def _needed(x: Column, y: Column) -> Column:
+    return F.ceil(3 * (x + y) / 7 - F.lit(1e-9))
+
+
+def _fits(x: str, y: str) -> Column:
     return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
 
 
@@ -257,9 +268,10 @@ def classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Da
     posts = all_rows.where("shingle is not null")
 
     lists = posts.groupBy("shingle").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    heads = posts.groupBy("doc").agg(F.max("size").alias("pivot_size")).withColumnRenamed("doc", "pivot")
-    votes = posts.join(lists, "shingle").where("doc <> pivot").groupBy("doc", "size", "pivot").agg(F.count("*").alias("n"))
-    votes = votes.join(heads, "pivot").where(_fits("size", "pivot_size"))
+    posts = common.stored(posts.join(lists, "shingle"), "shingle-lists")
+    heads = posts.groupBy("doc").agg(F.max("size").alias("pivot_size"), F.max("live").alias("pivot_live")).withColumnRenamed("doc", "pivot")
+    votes = posts.where("doc <> pivot").groupBy("doc", "size", "live", "pivot").agg(F.count("*").alias("n"))
+    votes = votes.join(heads, "pivot").where(_fits("size", "pivot_size") & (F.least("live", "pivot_live") >= _needed(F.col("size"), F.col("pivot_size"))))
     best = common.stored(votes.groupBy("doc").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot")), "shingle-pairs")
     links = _linked(rows, best)
 
@@ -272,13 +284,20 @@ def classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Da
     # a pair needs as many common postings as its sizes ask for, so neither side may have fewer in all
     held = named.groupBy("doc").agg(F.count("*").alias("held"))
     named = named.join(held, "doc")
-    x = named.where("root <> top").select("shingle", F.col("doc").alias("x"), F.col("size").alias("m"), F.col("root").alias("p"), F.col("held").alias("i"))
-    y = named.select("shingle", F.col("doc").alias("y"), F.col("size").alias("n"), F.col("root").alias("q"), F.col("held").alias("j"), "top")
-    reach = F.ceil(3 * (F.col("m") + F.col("n")) / 7 - F.lit(1e-9)) - F.ceil(3 * F.greatest("m", "n") / 4) + 1
+    own = [F.col("doc"), F.col("size"), F.col("root"), F.col("held"), F.col("place"), F.col("live") - F.col("place")]
+    x = named.where("root <> top").select("shingle", *[c.alias(n) for c, n in zip(own, ("x", "m", "p", "i", "x_before", "x_after"), strict=True)])
+    y = named.select("shingle", *[c.alias(n) for c, n in zip(own, ("y", "n", "q", "j", "y_before", "y_after"), strict=True)], "top")
+    need = _needed(F.col("m"), F.col("n"))
+    reach = need - F.ceil(3 * F.greatest("m", "n") / 4) + 1
+    # what two sets share comes before this shingle in both or from it on in both
+    room = F.least("x_before", "y_before") + F.least("x_after", "y_after") >= need
     # of two documents that are both outside the largest component, the pair is met from the smaller id alone
-    met = x.join(y, "shingle").where((F.col("p") != F.col("q")) & ((F.col("q") == F.col("top")) | (F.col("x") < F.col("y"))) & _fits("m", "n") & (F.least("i", "j") >= reach))
-    met = met.groupBy("x", "y", "m", "n").agg(F.count("*").alias("c"))
-    rest = common.stored(met.where(F.col("c") >= reach).select(F.col("x").alias("pivot"), F.col("y").alias("doc")).distinct(), "shingle-pairs")
+    met = x.join(y, "shingle").where((F.col("p") != F.col("q")) & ((F.col("q") == F.col("top")) | (F.col("x") < F.col("y"))) & _fits("m", "n") & (F.least("i", "j") >= reach) & room)
+    # lists differ in their largest component, so a pair may be met from either side
+    turned = F.col("x") > F.col("y")
+    pair = [F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("doc"), F.when(turned, F.col("n")).otherwise(F.col("m")).alias("m"), F.when(turned, F.col("m")).otherwise(F.col("n")).alias("n")]
+    met = met.groupBy(*pair).agg(F.count("*").alias("c"))
+    rest = common.stored(met.where(F.col("c") >= reach).select("pivot", "doc").distinct(), "shingle-pairs")
     more = _linked(rows, rest)
 
     roots = common.components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))

@@ -215,6 +215,21 @@ def test_op7(spark, sf, docs, frequent):
     assert len({c for _, c in got.values()}) < len(docs)
 
 
+def test_jaccard_of_variants(spark):
+    """Groups whose members lie just over and just under the similarity, so that components share lists in many ways."""
+    r = random.Random(11)
+    docs = []
+    for base in range(4):
+        words = [f"b{base}w{r.randrange(400)}" for _ in range(90)]
+        for _ in range(40):
+            w = list(words)
+            for at in r.sample(range(len(w)), r.choice([0, 1, 2, 3, 4])):
+                w[at] = r.choice([f"x{r.randrange(10**9)}", f"b{base}w{r.randrange(400)}", "the"])
+            docs.append((len(docs) * 7919 % 1009, " ".join(w[: r.choice([90, 80, 70])])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.classes(df).collect()} == jaccard.brute(docs)
+
+
 def test_t_occurrence_equals_counting():
     r = np.random.default_rng(1)
     for _ in range(60):
