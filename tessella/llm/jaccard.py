@@ -16,7 +16,8 @@ Round 1 checks each document against one pivot: the first document of most of it
 those links collapse groups of copies. Round 2 looks only across components: in each list that more
 than one component has, the documents outside its largest one are set against the rest, and pairs go on whose
 number of common postings can still reach T (a prefix shingle that the other prefix lacks is a miss; so is one
-that no other document has). Together the two
+that no other document has), and whose parities, a few bits of each set, do not differ in more places than
+the sizes allow. Together the two
 rounds see every pair that could join two components, so no link that matters is lost, while a group of
 copies costs its size, not its square.
 
@@ -46,6 +47,8 @@ from . import common
 WORDS = 5
 #: Shingles of this many documents or more are alike in the order.
 FREQUENT = 1 << 15
+#: 64-bit words of a set's parities.
+PARITIES = 4
 #: Sets that one block of a search holds.
 BLOCK = 256
 
@@ -122,6 +125,15 @@ def _candidates(s: np.ndarray, levels: common.Levels, most: int) -> tuple[np.nda
     return s[first[level[first] > 0]], int(np.count_nonzero(level))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Of each of 64 ``PARITIES`` groups of hashes, whether the set has an odd number.
+
+    Where two sets' parities differ, some shingle is in one alone: so many shingles at least differ.
+    """
+    odd = np.bincount((s >> np.uint64(32) & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _batches(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
     """(ids, sets) of a few documents at a time."""
     for b in batches:
@@ -148,12 +160,13 @@ def _census(docs: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, levels, frequent: int) -> DataFrame:
-    """(shingle, doc, size, live, place) of shared prefix shingles, and a row without shingle for every document.
+    """(shingle, doc, size, live, place) of shared prefix shingles, and a row without shingle, with parities, for every document.
 
     ``live``: how many shingles of the set others may have; ``place``: how many of them come before this one.
     """
     most = max(1, frequent.bit_length() - 1)
-    names = ["shingle", "doc", "size", "live", "place"]
+    words = [f"odd{i}" for i in range(PARITIES)]
+    names = ["shingle", "doc", "size", "live", "place", *words]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(batches):
@@ -161,14 +174,15 @@ def _postings(docs: DataFrame, levels, frequent: int) -> DataFrame:
             n = np.array([x.size for x, _ in found])
             doc = pa.array(ids, pa.int64())
             sizes, live = np.array([s.size for s in sets], dtype=np.int32), np.array([x for _, x in found], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), doc, pa.array(sizes), pa.array(live), pa.nulls(len(ids), pa.int32())], names)
+            odd = np.array([parities(x) for x in sets], dtype=np.int64).reshape(-1, PARITIES).T
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), doc, pa.array(sizes), pa.array(live), pa.nulls(len(ids), pa.int32()), *map(pa.array, odd)], names)
             if n.sum():
                 at = np.repeat(np.arange(len(ids)), n)
                 place = np.arange(at.size) - np.repeat(np.cumsum(n) - n, n)
                 shingles = np.concatenate([x for x, _ in found]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(shingles), doc.take(pa.array(at)), pa.array(sizes[at]), pa.array(live[at]), pa.array(place.astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles), doc.take(pa.array(at)), pa.array(sizes[at]), pa.array(live[at]), pa.array(place.astype(np.int32)), *[pa.nulls(at.size, pa.int64()) for _ in words]], names)
 
-    return docs.mapInArrow(emit, "shingle long, doc long, size int, live int, place int")
+    return docs.mapInArrow(emit, ", ".join(["shingle long, doc long, size int, live int, place int", *[f"{w} long" for w in words]]))
 
 
 def t_occurrence(query: np.ndarray, sets: list[np.ndarray], mu: float = 0.01) -> list[int]:
@@ -265,7 +279,8 @@ def classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(common.Census.levels(_census(rows)))
     all_rows = common.stored(_postings(rows, levels, frequent), "shingle-postings")
-    posts = all_rows.where("shingle is not null")
+    words = [f"odd{i}" for i in range(PARITIES)]
+    posts = all_rows.where("shingle is not null").drop(*words)
 
     lists = posts.groupBy("shingle").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     posts = common.stored(posts.join(lists, "shingle"), "shingle-lists")
@@ -283,14 +298,18 @@ def classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Da
     named = common.stored(named.join(split, "shingle"), "shingle-split")
     # a pair needs as many common postings as its sizes ask for, so neither side may have fewer in all
     held = named.groupBy("doc").agg(F.count("*").alias("held"))
-    named = named.join(held, "doc")
+    # rows that share a doc_id have no parities in common
+    odd = all_rows.where("shingle is null").groupBy("doc").agg(*[F.when(F.count("*") == 1, F.max(w)).alias(w) for w in words])
+    named = named.join(held.join(odd, "doc"), "doc")
     own = [F.col("doc"), F.col("size"), F.col("root"), F.col("held"), F.col("place"), F.col("live") - F.col("place")]
-    x = named.where("root <> top").select("shingle", *[c.alias(n) for c, n in zip(own, ("x", "m", "p", "i", "x_before", "x_after"), strict=True)])
-    y = named.select("shingle", *[c.alias(n) for c, n in zip(own, ("y", "n", "q", "j", "y_before", "y_after"), strict=True)], "top")
+    x = named.where("root <> top").select("shingle", *[c.alias(n) for c, n in zip(own, ("x", "m", "p", "i", "x_before", "x_after"), strict=True)], *[F.col(w).alias(f"x_{w}") for w in words])
+    y = named.select("shingle", *[c.alias(n) for c, n in zip(own, ("y", "n", "q", "j", "y_before", "y_after"), strict=True)], *[F.col(w).alias(f"y_{w}") for w in words], "top")
     need = _needed(F.col("m"), F.col("n"))
     reach = need - F.ceil(3 * F.greatest("m", "n") / 4) + 1
     # what two sets share comes before this shingle in both or from it on in both
     room = F.least("x_before", "y_before") + F.least("x_after", "y_after") >= need
+    apart = sum(F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words)
+    room &= F.coalesce(apart, F.lit(0)) <= F.col("m") + F.col("n") - 2 * need
     # of two documents that are both outside the largest component, the pair is met from the smaller id alone
     met = x.join(y, "shingle").where((F.col("p") != F.col("q")) & ((F.col("q") == F.col("top")) | (F.col("x") < F.col("y"))) & _fits("m", "n") & (F.least("i", "j") >= reach) & room)
     # lists differ in their largest component, so a pair may be met from either side
