@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -28,11 +29,25 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here and lost executors cost nothing."""
+    """``df`` written to the shared folder and read again: lineage ends here and lost executors cost nothing.
+
+    Shuffle files go when the driver collects what refers to them, so it is asked to, now that they are not needed.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a ``stored`` frame; nothing may read it or what was made of it lazily any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def setting(spark: SparkSession, key: str, default: int) -> int:
@@ -229,6 +244,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         after = stored(small.distinct(), "links")
         same = after.count() == edges.count() and not after.join(edges, ["u", "v"], "left_anti").take(1)
+        dropped(edges)
         edges = after
         if same:
             break

@@ -48,7 +48,7 @@ WORDS = 5
 #: Shingles of this many documents or more are alike in the order.
 FREQUENT = 1 << 15
 #: 64-bit words of a set's parities.
-PARITIES = 4
+PARITIES = 8
 #: Sets that one block of a search holds.
 BLOCK = 256
 
@@ -262,7 +262,9 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield done()
 
     both = members.unionByName(heads).repartition(common.partitions(spark), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.asc_nulls_first("doc"))
-    return common.stored(both.mapInArrow(search, "a long, b long"), "shingle-links")
+    links = common.stored(both.mapInArrow(search, "a long, b long"), "shingle-links")
+    common.dropped(sets)
+    return links
 
 
 def _needed(x: Column, y: Column) -> Column:
@@ -289,6 +291,7 @@ def classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Da
     votes = votes.join(heads, "pivot").where(_fits("size", "pivot_size") & (F.least("live", "pivot_live") >= _needed(F.col("size"), F.col("pivot_size"))))
     best = common.stored(votes.groupBy("doc").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot")), "shingle-pairs")
     links = _linked(rows, best)
+    common.dropped(best)
 
     first = common.components(links)
     first = common.stored(first, "shingle-first")
@@ -296,6 +299,7 @@ def classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Da
     counts = named.groupBy("shingle", "root").agg(F.count("*").alias("n"))
     split = counts.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("top")).where("k > 1").drop("k")
     named = common.stored(named.join(split, "shingle"), "shingle-split")
+    common.dropped(posts)
     # a pair needs as many common postings as its sizes ask for, so neither side may have fewer in all
     held = named.groupBy("doc").agg(F.count("*").alias("held"))
     # rows that share a doc_id have no parities in common
@@ -318,6 +322,7 @@ def classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Da
     met = met.groupBy(*pair).agg(F.count("*").alias("c"))
     rest = common.stored(met.where(F.col("c") >= reach).select("pivot", "doc").distinct(), "shingle-pairs")
     more = _linked(rows, rest)
+    common.dropped(rest)
 
     roots = common.components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     sizes = all_rows.where("shingle is null").select(F.col("doc").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"))
