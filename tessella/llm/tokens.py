@@ -9,9 +9,13 @@ import numpy as np
 
 #: Chunks longer than this, or more than this many, are not remembered.
 LONGEST, MOST = 64, 600_000
+#: How the vocabulary writes the end of a word.
+WORD_END = "</w>"
 
-#: A stop or comma between a Latin letter and a blank is a token's whole text either way.
-_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[ \n]|\Z)")
+#: ASCII punctuation between a Latin letter and a blank is split from the letter by the tokenizer either way.
+_STOP = re.compile(r"[!-/:-@\[-`{-~](?<=[a-zß-öø-ÿ].)[!-/:-@\[-`{-~]*(?=[ \n]|\Z)")
+#: Words that the tokenizer does not split before its model.
+_WORD = re.compile(r"[a-zß-öø-ÿ]+")
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -49,6 +53,9 @@ class Encoder:
         self.chunked = self.mark is not None and self._drops_blanks()
         self.specials = [t.content for t in added.values()]
         self.folds = self.chunked and self._folds()
+        vocab = self.tokenizer.get_vocab(True)
+        self.closes = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith(WORD_END) and t not in self.specials]] = True
         self.known: dict[str, bytes] = {}
 
     def _drops_blanks(self) -> bool:
@@ -59,12 +66,24 @@ class Encoder:
 
     def _folds(self) -> bool:
         """Whether the tokenizer itself lowers case and sets a stop or comma after a letter apart."""
-        probe = ["".join(map(chr, [*range(33, 127), *range(161, 256)])), "Aé. bÀ, c.\nD,", "İ"]
+        marks = re.sub(r"[0-9A-Za-z]", "", "".join(map(chr, range(33, 127))))
+        probe = "".join(map(chr, [*range(33, 127), *range(161, 256)]))
+        pairs = [(probe, probe.lower()), ("Aé. bÀ, c.\nD,", "aé . bà , c . d ,"), (f"é{marks}", f"é {marks}"), *((f"é{m} s", f"é {m} s") for m in marks)]
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        return all(ids(p) == ids(q) for p, q in ((probe[0], probe[0].lower()), (probe[1], "aé . bà , c . d ,")))
+        return all(ids(p) == ids(q) for p, q in pairs)
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
+        words = [c for c in chunks if _WORD.fullmatch(c)]
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if ends.size != len(some):
+                continue  # this tokenizer does not mark the ends of words: these go the general way
+            ends, data = (4 * ends).tolist(), ids.tobytes()
+            out.update((c, data[a:b]) for c, a, b in zip(some, [0, *ends], ends, strict=False))
+        chunks = [c for c in chunks if c not in out]
         plain = [c for c in chunks if not any(s in c for s in self.specials)]
         own = set(plain)
         odd = [c for c in chunks if c not in own]
@@ -89,23 +108,21 @@ class Encoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text
-        return _STOP.sub(r" \1", text.lower())
+        return _STOP.sub(r" \g<0>", text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         known = self.known
         split = [self._plain(t).replace("\n", " ").split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks if c not in known}
-        new.discard("")
+        every = set().union(*split)
+        every.discard("")
+        new = every.difference(known)
         fresh = self._learn(list(new))
-        fresh[""] = b""
+        # looked up in these texts' own chunks: few enough for the processor's caches
+        own = {c: known[c] for c in every - new} | fresh
+        own[""] = b""
         if len(known) + len(fresh) > MOST:
             known.clear()
-            fresh.update(self._learn([c for c in {c for chunks in split for c in chunks} if c and c not in fresh]))
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for c in fresh:
-            if len(c) > LONGEST:
-                known.pop(c, None)
-        return out
+        known.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST)
+        return [b"".join(map(own.__getitem__, chunks)) for chunks in split]
