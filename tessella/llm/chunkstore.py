@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -140,19 +140,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
                     origin += len(data) // 4
                 yield _batch(rows)
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            keep = []
-            for kind, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                keep.append(kind == 1 or key != last)
-                last = key if kind == 0 else None
-            yield b.filter(pa.array(keep, pa.bool_()))
-
     sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, _SCHEMA)
-    deal = F.when(F.col("kind") == 0, F.xxhash64("key")).otherwise(F.xxhash64("doc_id", "key"))
+    sent = sent.withColumn("_deal", F.when(F.col("kind") == 0, F.xxhash64("key")).otherwise(F.xxhash64("doc_id", "key")))
     staged = f"{path}/staged"
-    sent.repartition(common.partitions(spark), deal).sortWithinPartitions("kind", "key").mapInArrow(once, _SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(staged)
+    # tasks that hold one chunk each send it: one of them is kept; documents all stay
+    alike = Window.partitionBy("kind", "_deal", "key").orderBy("kind")
+    once = sent.repartition(common.partitions(spark), "_deal").withColumn("_again", F.row_number().over(alike)).where("kind = 1 or _again = 1").drop("_deal", "_again")
+    once.write.partitionBy("kind").option("compression", "zstd").parquet(staged)
     # recipes hold no ids: small, they are ordered and numbered apart
     recipes = spark.read.schema(_SCHEMA).parquet(staged).where("kind = 1").select("doc_id", F.col("key").alias("root"), F.col("n").alias("n_tokens"), "chunks", "counts")
     recipes = common.with_starts(recipes, "doc_id", "n_tokens", "start", ("root",))
