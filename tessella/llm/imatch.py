@@ -6,13 +6,14 @@ moves: terms in at least a share p of documents number at most (mean terms of a
 
 ``LEXICONS`` random sub-lexicons are drawn at every level l: each keeps a term with probability
 2^-l, by a hash of the term, so a term kept at one level is kept at all below. A text with n
-terms in the band is hashed at two levels by log2 n, where a sub-lexicon holds about one of its
-terms: for each sub-lexicon, its distinct terms there are sorted and hashed in order.
+terms in the band is hashed from a base level near log2 n upwards, where a sub-lexicon holds one or two of its
+terms: for each sub-lexicon, its distinct terms there are sorted and hashed in order, until no sub-lexicon holds
+one. Levels above hold none, so any two texts have all levels from the higher of their base levels in common.
 
-Two texts with k terms between them and a share J of those in common agree in a sub-lexicon that keeps each
-with probability p, or both have no term there, with probability (1-p)^(k(1-J)); they both have none with
-probability (1-p)^k. So the counts of either, at the highest level both were hashed at, give J, and
-the likeness is 2J / (1 + J), the share of their terms that the two have in common.
+Two texts agree in a sub-lexicon from just above the highest level of a term that only one of them has, and both have no term
+there from just above the highest level of a term that both have. The highest level of N terms is below l with probability
+(1 - 2^-l)^N; with the texts' numbers of terms, which are in the print, these levels give the likelihood of every number
+in common, and the likeness is 2 x the likeliest of those / the sum of the numbers: the share of their terms that the two have in common.
 
 A text without terms in the band is fingerprinted by a hash of all its words; two such are alike (1) if equal, else 0.
 Edge cases: null is the empty text, which has a fingerprint of its own; repeated doc_ids are ordered
@@ -35,6 +36,10 @@ from . import common
 RAREST, COMMONEST, LEXICONS, SEED = 0.001, 0.2, 40, 11
 _TERMS = re.compile(r"[^\W_]+")
 _TOP = 24  # levels
+_GRID = 65  # numbers of terms in common that are tried
+
+#: Base levels, numbers of terms, hashes by level and lexicon.
+Prints = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def terms_of(text: str) -> list[str]:
@@ -57,10 +62,11 @@ class Lexicon:
         self.level = np.minimum(np.where(bits == 0, _TOP, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64))), _TOP).astype(np.int8)
         self.lexicons = lexicons
 
-    def prints(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text its base level (-1: no term in the band) and 2 x lexicons hashes (0: no term); without terms the first is of all words."""
+    def prints(self, texts: list[str]) -> Prints:
+        """For each text its base level (-1: no term in the band), its number of terms there, and lexicons hashes (0: no term)
+        for each level from the base; without terms the first is of all words."""
         n, r = len(texts), self.lexicons
-        base, out = np.full(n, -1, dtype=np.int64), np.zeros((n, 2, r), dtype=np.uint64)
+        base, levels = np.full(n, -1, dtype=np.int64), [np.zeros((n, r), dtype=np.uint64)]
         found, sizes = [], np.zeros(n, dtype=np.int64)
         get = self.at.get
         for i, t in enumerate(texts):
@@ -71,54 +77,98 @@ class Lexicon:
                 found.extend(sorted(at))  # terms in order
                 sizes[i] = len(at)
             else:
-                out[i, 0, 0] = _hash(" ".join(words) or t) | 1
+                levels[0][i, 0] = _hash(" ".join(words) or t) | 1
         if found:
             term, doc = np.array(found), np.repeat(np.arange(n), sizes)
             has = sizes > 0
             base[has] = np.clip(np.ceil(np.log2(sizes[has])) - 1, 0, _TOP - 2).astype(np.int64)
-            kept = self.level[term]
-            for k in range(2):
-                row, lex = np.nonzero(kept >= (base[doc] + k)[:, None])
-                key = doc[row] * r + lex
-                order = np.argsort(key, kind="stable")
-                key, row = key[order], row[order]
-                begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if key.size else np.zeros(0, dtype=np.int64)
+            above = self.level[term] - base[doc].astype(np.int8)[:, None]
+            row, lex = np.nonzero(above >= 0)
+            above, key = above[row, lex], doc[row] * r + lex
+            order = np.argsort(key, kind="stable")
+            above, key, own = above[order], key[order], self.hash[term[row[order]]]
+            while key.size:
+                begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 rank = np.arange(key.size) - np.repeat(begins, np.diff(np.r_[begins, key.size]))
                 with np.errstate(over="ignore"):
-                    part = common.mixed(self.hash[term[row]] + (rank.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
-                    if key.size:
-                        out[key[begins] // r, k, key[begins] % r] = common.mixed(np.add.reduceat(part, begins)) | np.uint64(1)
-        return base, out
+                    part = common.mixed(own + (rank.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+                    levels[-1].reshape(-1)[key[begins]] = common.mixed(np.add.reduceat(part, begins)) | np.uint64(1)
+                some = above >= len(levels)
+                above, key, own = above[some], key[some], own[some]
+                if key.size:
+                    levels.append(np.zeros((n, r), dtype=np.uint64))
+        return base, sizes, np.stack(levels, axis=1)
 
     @staticmethod
-    def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def likeness(a: Prints, b: Prints) -> np.ndarray:
         """Of each print in ``a`` to the one in its place in ``b``."""
-        (la, ha), (lb, hb) = a, b
-        rows = np.arange(la.size)
-        top = np.minimum(la, lb) + 1  # the highest level that both have
-        both = (la >= 0) & (lb >= 0) & (top >= np.maximum(la, lb))
-        x = ha[rows, np.clip(top - la, 0, 1)]
-        y = hb[rows, np.clip(top - lb, 0, 1)]
-        r = ha.shape[2]
-        none = ((x == 0) & (y == 0)).sum(1)
+        (la, na, ha), (lb, nb, hb) = a, b
+        deep, r = max(ha.shape[1], hb.shape[1]), ha.shape[2]
+        low = np.maximum(np.maximum(la, lb), 0)  # the lowest level that both have
+
+        def held(base: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+            at = (low - base)[:, None] + np.arange(deep)
+            some = hashes[np.arange(base.size)[:, None], np.minimum(at, hashes.shape[1] - 1)]
+            return np.where((at < hashes.shape[1])[:, :, None], some, np.uint64(0))
+
+        x, y = held(la, ha), held(lb, hb)
+        # levels from ``low`` with a term of one text alone, and those above with terms of both alone
+        apart = (x != y).sum(1)
         same = ((x == y) & (x != 0)).sum(1)
-        # a little is added to both counts, so that neither logarithm is of 0 or 1
-        share = 1 - np.log((none + same + 0.25) / (r + 0.5)) / np.log((none + 0.25) / (r + 0.5))
-        share = np.where(both & (same > 0), np.clip(share, 0, 1), 0.0)
-        out = 2 * share / (1 + share)
-        equal = (la == lb) & (ha == hb).all(axis=(1, 2))
+
+        def tally(of: np.ndarray, which: np.ndarray) -> np.ndarray:
+            """By row and level from ``low``, in how many lexicons of ``which`` it is ``of``."""
+            at = np.arange(of.shape[0])[:, None] * (deep + 1) + of
+            return np.bincount(at[which], minlength=of.shape[0] * (deep + 1)).reshape(-1, deep + 1)
+
+        every = np.ones_like(apart, dtype=bool)
+        ends = [tally(apart, every), tally(apart + same, same > 0), tally(apart, same == 0)]
+        level = low[:, None] + np.arange(deep + 1)
+        with np.errstate(divide="ignore"):
+            below = np.where(level > _TOP, 0.0, np.maximum(np.log1p(-(0.5**level)), -1e9))
+        less = np.c_[np.full(low.size, -1e9), below[:, :-1]]
+        fewer = np.minimum(na, nb)
+        shared = np.rint(np.linspace(0, 1, _GRID)[None, :] * fewer[:, None])
+        alone = (na + nb)[:, None] - 2 * shared
+
+        def highest(number: np.ndarray, known: np.ndarray, bound: np.ndarray) -> np.ndarray:
+            """The log likelihood of each ``number`` of terms if their highest level is one less than that of ``known``, or below that of ``bound``."""
+            out = np.zeros_like(number)
+            for k in range(deep + 1):
+                if known[:, k].any():
+                    gap = -np.expm1(np.maximum(number * (less[:, k] - below[:, k])[:, None], -700))
+                    out += known[:, k, None] * (number * below[:, k, None] + np.log(np.maximum(gap, 1e-300)))
+                if bound[:, k].any():
+                    out += bound[:, k, None] * number * below[:, k, None]
+            return out
+
+        none = np.zeros_like(ends[0])
+        none[:, 0] = ends[0][:, 0]
+        ends[0][:, 0] = 0
+        likely = highest(alone, ends[0], none) + highest(shared, ends[1], ends[2])
+        best = np.take_along_axis(shared, likely.argmax(1)[:, None], 1)[:, 0]
+        out = np.where((la >= 0) & (lb >= 0), 2 * best / np.maximum(na + nb, 1), 0.0)
+        equal = (la == lb) & (na == nb) & (x == y).all(axis=(1, 2))
         return np.where(equal, 1.0, out)
 
     @staticmethod
-    def text(print_: tuple[np.ndarray, np.ndarray]) -> list[str]:
-        base, hashes = print_
-        heads = (hashes >> np.uint64(40)).astype(np.uint32)
+    def text(prints: Prints) -> list[str]:
+        """Base level, number of terms, and for each lexicon its hashes from the base up: a dot for one equal to that below, none after the last."""
         out = []
-        for b, h, full in zip(base.tolist(), heads, hashes, strict=True):
+        for b, n, full in zip(prints[0].tolist(), prints[1].tolist(), prints[2], strict=True):
             if b < 0:
                 out.append(f"w:{int(full[0, 0]):016x}")
-            else:
-                out.append(f"{b:02d}:" + ":".join(",".join("-" if not y else f"{x:06x}" for x, y in zip(p.tolist(), q.tolist(), strict=True)) for p, q in zip(h, full, strict=True)))
+                continue
+            said = []
+            for chain in full.T.tolist():
+                part, last = "", 0
+                for h in chain:
+                    if not h:
+                        break
+                    part += "." if h == last else f"{h >> 40:06x}"
+                    last = h
+                said.append(part or "-")
+            out.append(f"{b:02d}:{n}:" + ",".join(said))
         return out
 
 
@@ -214,7 +264,7 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
             texts = [t for _, t in rows]
             edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, texts[1:], strict=False)]
             own, new = words.prints(texts), words.prints(edited)
-            mine = (own[0][:-1], own[1][:-1])
+            mine, following = tuple(x[:-1] for x in own), tuple(x[1:] for x in own)
             said = Lexicon.text(mine)
             return pa.RecordBatch.from_arrays(
                 [
@@ -224,7 +274,7 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
                     pa.array(said),
                     pa.array(Lexicon.text(new)),
                     pa.array(Lexicon.likeness(mine, new), pa.float64()),
-                    pa.array(Lexicon.likeness(mine, (own[0][1:], own[1][1:])), pa.float64()),
+                    pa.array(Lexicon.likeness(mine, following), pa.float64()),
                 ],
                 [x.split()[0] for x in OP1_SCHEMA.split(", ")],
             )

@@ -97,6 +97,58 @@ def test_op1(spark, sf, docs):
     assert np.mean([got[d]["near_edited"] for d in long]) > 0.4
 
 
+def dice(a, b, band):
+    a, b = set(imatch.terms_of(a)) & band, set(imatch.terms_of(b)) & band
+    return 2 * len(a & b) / (len(a) + len(b)) if a and b else float(a == b)
+
+
+@pytest.mark.parametrize("times", [1, 2, 4, 8])
+def test_likeness_of_texts_of_different_sizes(times):
+    r = random.Random(times)
+    terms = [f"t{i}" for i in range(4000)]
+    pairs = []
+    for _ in range(200):
+        n = r.choice([5, 12, 40, 90])
+        a = r.sample(terms, n)
+        pairs.append((a, r.sample(a, r.randint(n // 2, n)) + r.sample(terms, n * (times - 1) + n // 4)))
+    a, b = ([" ".join(p[k]) for p in pairs] for k in (0, 1))
+    words = imatch.Lexicon(terms)
+    true = np.array([dice(x, y, set(terms)) for x, y in zip(a, b, strict=True)])
+    for x, y in ((a, b), (b, a)):
+        off = imatch.Lexicon.likeness(words.prints(x), words.prints(y)) - true
+        assert abs(off.mean()) < 0.04 and np.abs(off).mean() < 0.09
+    other = [" ".join(r.sample(terms[2000:], len(t.split()))) for t in b]
+    first = [" ".join(r.sample(terms[:2000], len(t.split()))) for t in a]
+    assert imatch.Lexicon.likeness(words.prints(first), words.prints(other)).mean() < 0.06
+    assert (imatch.Lexicon.likeness(words.prints(a), words.prints(a)) == 1).all()
+
+
+def test_op1_edit_that_multiplies_terms(spark, tmp_path):
+    r = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    texts = {}
+    for i in range(120):
+        few = r.sample(vocabulary, r.randint(6, 24))
+        texts[i] = " ".join(r.choices(few, k=400) if i % 2 else r.sample(vocabulary, 400))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    n = {}
+    for t in texts.values():
+        for w in set(imatch.terms_of(t)):
+            n[w] = n.get(w, 0) + 1
+    band = {w for w, c in n.items() if imatch.RAREST * len(texts) <= c <= imatch.COMMONEST * len(texts)}
+    got = {x["doc_id"]: x for x in imatch.op1_imatch(spark, str(tmp_path)).collect()}
+    true, said, ratio = [], [], []
+    for i in range(1, 120, 2):
+        t, following = texts[i], texts[i - 1]
+        edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        true.append(dice(t, edited, band))
+        said.append(got[i]["near_edited"])
+        ratio.append(len(set(edited.split()) & band) / len(set(t.split()) & band))
+    assert min(ratio) > 2 and max(ratio) > 8 and min(true) > 0
+    # a text lies within its edited one here, so that estimates err to one side
+    assert abs(np.mean(said) - np.mean(true)) < 0.06 and np.mean(np.abs(np.subtract(said, true))) < 0.09
+
+
 def test_op2(spark, sf, docs):
     want = linededup.brute(list(docs.items()))
     assert want != linededup.brute(list(docs.items()), 0)
