@@ -3,7 +3,7 @@
 A line is the words between two newlines, split at white space; an edit inserts, deletes or replaces a
 word. Lines come in the order of (doc_id, line number). A line of at least ``EXACT`` words goes if an
 equal one comes before it; one of at least ``NEAR`` words also goes if a line within ``EDITS`` (0 or 1)
-edits comes before it, whether or not that one stays. Shorter lines always stay.
+edits comes before it, whether or not that one stays: of fewer words one is too large a part. Lines without words always stay.
 
 1. Every document sends each of its different lines once, as a 128-bit hash with its place; the
    earliest place of each hash is found by partial sums.
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EXACT, NEAR, EDITS = 4, 8, 1
+EXACT, NEAR, EDITS = 1, 4, 1
+_SLICE = 256  # documents whose lines are held at once
 _LAST = (1 << 63) - 1
 
 
@@ -87,13 +88,19 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, _SLICE):
+            yield b.slice(at, _SLICE)
+
+
 def _places(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text")).where("text is not null")
 
 
 def _occurrences(docs: DataFrame, text: str, near: bool) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             rows = [(key, doc, i, halves(words) if near and len(words) >= NEAR - 1 else None) for doc, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, words, key in lines_of(t)]
             if rows:
                 key, doc, line, half = zip(*rows, strict=True)
@@ -114,7 +121,7 @@ def _neighbours(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for b in batches:
+        for b in _sliced(batches):
             rows = [(doc, i, words) for doc, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, words, _ in lines_of(t) if len(words) >= NEAR - 1]
             if rows:
                 there = held.value.has(np.array([place_hash(d, i) for d, i, _ in rows], dtype=np.int64).view(np.uint64))
@@ -127,7 +134,7 @@ def _neighbours(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
     texts = common.stored(texts.join(able.drop("place"), ["doc", "line"]), "line-texts")
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             rows = []
             for doc, line, words, head, tail in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n = len(words)

@@ -155,6 +155,13 @@ def test_op2(spark, sf, docs):
     assert {r["doc_id"]: r["text"] for r in linededup.op2_line_dedup(spark, sf).collect()} == want
 
 
+def test_op2_short_lines(spark):
+    docs = [(1, "Les.\nAnd ornd.\n\none two three\na b c d\np q r s t u v"), (2, "Les.\nAnd  ornd.\n\none two four\na b x d\nkept"), (3, "one two three\nkept\nMes.\na b c\np q r s t u w\np q s t u v")]
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "\none two four\nkept", 3: "Mes."}
+    assert linededup.brute(docs) == got
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
