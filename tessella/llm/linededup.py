@@ -1,7 +1,7 @@
 """Line deduplication within an edit bound, by a deletion-neighbourhood join.
 
 A line is the words between two newlines, split at white space; an edit inserts, deletes or replaces a
-word. Lines come in the order of (doc_id, line number). A line of at least ``EXACT`` words goes if an
+word. Lines come in the order of (doc_id, row, line number). A line of at least ``EXACT`` words goes if an
 equal one comes before it; one of at least ``NEAR`` words also goes if a line within ``EDITS`` (0 or 1)
 edits comes before it, whether or not that one stays: of fewer words one is too large a part. Lines without words always stay.
 
@@ -17,8 +17,9 @@ edits comes before it, whether or not that one stays: of fewer words one is too
 
 Texts of candidate lines are fetched through a bitmap of fixed size, which only thins the scan out.
 
-Edge cases: null texts stay null; empty texts stay empty; rows that share a doc_id are one document (each
-keeps what the other keeps); null doc_ids come after all others; an empty table gives no row; other
+Edge cases: null texts stay null; empty texts stay empty; null doc_ids come after all others; rows that share
+a doc_id, or have none, are told apart by a hash of their text and come in its order; of those equal in text too all but one lose
+their lines with words; an empty table gives no row; other
 columns are kept.
 """
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -59,9 +60,10 @@ def halves(words: list[str]) -> list[int]:
     return out
 
 
-def place_hash(doc: int, line: int) -> int:
-    """As Spark's xxhash64 of (long, int)."""
+def place_hash(doc: int, tag: int, line: int) -> int:
+    """As Spark's xxhash64 of (long, long, int)."""
     seed = xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), seed=42)
+    seed = xxhash.xxh64_intdigest(tag.to_bytes(8, "little", signed=True), seed=seed)
     return _signed(xxhash.xxh64_intdigest(line.to_bytes(4, "little", signed=True), seed=seed))
 
 
@@ -94,101 +96,116 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, _SLICE)
 
 
+def _tagged(docs: DataFrame, text: str) -> tuple[DataFrame, bool]:
+    """``docs`` with ``_doc`` and ``_tag``, which tell its rows apart but for equal ones, and whether any doc_id repeats; else all tags are 0."""
+    docs = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    repeats = bool(docs.groupBy("_doc").count().where("count > 1").take(1))
+    return docs.withColumn("_tag", F.xxhash64(text) if repeats else F.lit(0).cast("long")), repeats
+
+
 def _places(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text")).where("text is not null")
+    return df.select(F.col("_doc").alias("doc"), F.col("_tag").alias("tag"), F.col(text).alias("text")).where("text is not null")
 
 
 def _occurrences(docs: DataFrame, text: str, near: bool) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
-            rows = [(key, doc, i, halves(words) if near and len(words) >= NEAR - 1 else None) for doc, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, words, key in lines_of(t)]
+            rows = [(key, doc, tag, i, halves(words) if near and len(words) >= NEAR - 1 else None) for doc, tag, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, words, key in lines_of(t)]
             if rows:
-                key, doc, line, half = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(half, pa.list_(pa.int64()))], ["key", "doc", "line", "halves"])
+                key, doc, tag, line, half = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(line, pa.int32()), pa.array(half, pa.list_(pa.int64()))], ["key", "doc", "tag", "line", "halves"])
 
-    return _places(docs, text).mapInArrow(emit, "key binary, doc long, line int, halves array<long>")
+    return _places(docs, text).mapInArrow(emit, "key binary, doc long, tag long, line int, halves array<long>")
 
 
 def _neighbours(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
-    """(doc, line) of the lines with an earlier line within one edit. ``lines``: different lines, at their earliest places."""
+    """(doc, tag, line) of the lines with an earlier line within one edit. ``lines``: different lines, at their earliest places."""
     spark = docs.sparkSession
-    half = lines.where("halves is not null").select("doc", "line", F.explode("halves").alias("half"))
+    half = lines.where("halves is not null").select("doc", "tag", "line", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    able = half.join(shared, "half").groupBy("doc", "line").agg(F.max((F.col("half").bitwiseAND(F.lit(1)) == 0).cast("int")).alias("head"), F.max((F.col("half").bitwiseAND(F.lit(1)) == 1).cast("int")).alias("tail"))
-    able = common.stored(able.withColumn("place", F.xxhash64("doc", "line")), "line-candidates")
+    able = half.join(shared, "half").groupBy("doc", "tag", "line").agg(F.max((F.col("half").bitwiseAND(F.lit(1)) == 0).cast("int")).alias("head"), F.max((F.col("half").bitwiseAND(F.lit(1)) == 1).cast("int")).alias("tail"))
+    able = common.stored(able.withColumn("place", F.xxhash64("doc", "tag", "line")), "line-candidates")
     held = spark.sparkContext.broadcast(common.BitFilter.build(able, "place"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for b in _sliced(batches):
-            rows = [(doc, i, words) for doc, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, words, _ in lines_of(t) if len(words) >= NEAR - 1]
+            rows = [(doc, tag, i, words) for doc, tag, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, words, _ in lines_of(t) if len(words) >= NEAR - 1]
             if rows:
-                there = held.value.has(np.array([place_hash(d, i) for d, i, _ in rows], dtype=np.int64).view(np.uint64))
+                there = held.value.has(np.array([place_hash(d, g, i) for d, g, i, _ in rows], dtype=np.int64).view(np.uint64))
                 rows = [r for r, ok in zip(rows, there.tolist(), strict=True) if ok]
             if rows:
-                doc, line, words = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.list_(pa.string()))], ["doc", "line", "words"])
+                doc, tag, line, words = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.list_(pa.string()))], ["doc", "tag", "line", "words"])
 
-    texts = _places(docs, text).mapInArrow(fetch, "doc long, line int, words array<string>").dropDuplicates(["doc", "line"])
-    texts = common.stored(texts.join(able.drop("place"), ["doc", "line"]), "line-texts")
+    texts = _places(docs, text).mapInArrow(fetch, "doc long, tag long, line int, words array<string>").dropDuplicates(["doc", "tag", "line"])
+    texts = common.stored(texts.join(able.drop("place"), ["doc", "tag", "line"]), "line-texts")
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
             rows = []
-            for doc, line, words, head, tail in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, tag, line, words, head, tail in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 n = len(words)
                 h = (n - 1) // 2
-                rows.append((_half(words, 0), -1, doc, line))
+                rows.append((_half(words, 0), -1, doc, tag, line))
                 if n >= NEAR:
-                    rows += [(_half(words[:p] + words[p + 1 :], 0), p, doc, line) for p in [*(range(h) if tail else ()), *(range(h, n) if head else ())]]
+                    rows += [(_half(words[:p] + words[p + 1 :], 0), p, doc, tag, line) for p in [*(range(h) if tail else ()), *(range(h, n) if head else ())]]
             if rows:
-                key, place, doc, line = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(doc, pa.int64()), pa.array(line, pa.int32())], ["variant", "place", "doc", "line"])
+                key, place, doc, tag, line = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(line, pa.int32())], ["variant", "place", "doc", "tag", "line"])
 
-    sent = common.stored(texts.select("doc", "line", "words", "head", "tail").mapInArrow(variants, "variant long, place int, doc long, line int"), "line-variants")
-    first = sent.groupBy("variant", "place").agg(F.min(F.struct("doc", "line")).alias("f"), F.count("*").alias("n"))
+    sent = common.stored(texts.select("doc", "tag", "line", "words", "head", "tail").mapInArrow(variants, "variant long, place int, doc long, tag long, line int"), "line-variants")
+    first = sent.groupBy("variant", "place").agg(F.min(F.struct("doc", "tag", "line")).alias("f"), F.count("*").alias("n"))
     both = first.groupBy("variant").agg(F.min(F.when(F.col("place") < 0, F.col("f"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("f"))).alias("cut"), F.sum("n").alias("n")).where("n > 1").drop("n")
     some = sent.join(both, "variant").join(first.where("n > 1 and place >= 0").select("variant", "place", F.col("f").alias("same")), ["variant", "place"], "left")
-    here = F.struct("doc", "line")
-    found = some.select("doc", "line", F.when(F.col("place") < 0, F.col("cut")).otherwise(F.least("same", "whole")).alias("to")).where(F.col("to").isNotNull() & (F.col("to") < here))
+    here = F.struct("doc", "tag", "line")
+    found = some.select("doc", "tag", "line", F.when(F.col("place") < 0, F.col("cut")).otherwise(F.least("same", "whole")).alias("to")).where(F.col("to").isNotNull() & (F.col("to") < here))
     # a document's own lines may share a place hash, never a place: pairs are by place
-    pairs = found.distinct().select("doc", "line", F.col("to.doc").alias("doc2"), F.col("to.line").alias("line2"))
-    pairs = pairs.join(texts.select("doc", "line", "words"), ["doc", "line"]).join(texts.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("words2")), ["doc2", "line2"])
+    pairs = found.distinct().select("doc", "tag", "line", F.col("to.doc").alias("doc2"), F.col("to.tag").alias("tag2"), F.col("to.line").alias("line2"))
+    pairs = pairs.join(texts.select("doc", "tag", "line", "words"), ["doc", "tag", "line"]).join(texts.select(F.col("doc").alias("doc2"), F.col("tag").alias("tag2"), F.col("line").alias("line2"), F.col("words").alias("words2")), ["doc2", "tag2", "line2"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [min(len(x), len(y)) >= NEAR - 1 and max(len(x), len(y)) >= NEAR and within_one(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(list(b.columns[:2]), ["doc", "line"]).filter(pa.array(ok, pa.bool_()))
+            ok = [min(len(x), len(y)) >= NEAR - 1 and max(len(x), len(y)) >= NEAR and within_one(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(list(b.columns[:3]), ["doc", "tag", "line"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("doc", "line", "words", "words2").mapInArrow(verify, "doc long, line int").distinct()
+    return pairs.select("doc", "tag", "line", "words", "words2").mapInArrow(verify, "doc long, tag long, line int").distinct()
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` less its duplicate lines, and columns ``_lines`` and ``_removed`` with their numbers."""
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
+    names, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    docs, repeats = _tagged(docs, text)
     seen = common.stored(_occurrences(docs, text, edits == 1), "lines")
-    lines = seen.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("f"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+    lines = seen.groupBy("key").agg(F.min(F.struct("doc", "tag", "line")).alias("f"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     lines = common.stored(lines, "different-lines")
-    again = seen.select("key", "doc", "line").join(lines.where("n > 1").select("key", "f"), "key").where(F.struct("doc", "line") != F.col("f")).select("doc", "line", "key")
+    again = seen.select("key", "doc", "tag", "line").join(lines.where("n > 1").select("key", "f"), "key").where(F.struct("doc", "tag", "line") != F.col("f")).select("doc", "tag", "line")
     go = again
     if edits:
-        near = _neighbours(docs, text, lines.select("f.doc", "f.line", "halves"))
+        near = _neighbours(docs, text, lines.select("f.doc", "f.tag", "f.line", "halves"))
         # the copies of a line go already; its earliest place goes if it has an earlier neighbour
-        go = again.select("doc", "line").unionByName(near)
-    by_doc = go.groupBy("doc").agg(F.collect_set("line").alias("_go"))
-    names = docs.columns
-    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).join(by_doc.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*names, "_go")
+        go = again.unionByName(near)
+    by_row = go.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_set("line").alias("_go"))
+    # of equal rows the second and later ones are copies, whichever those are
+    copies = F.lit(False)
+    if repeats:
+        few = docs.groupBy("_doc", "_tag").count().where("count > 1").select("_doc", "_tag")
+        equal = Window.partitionBy("_doc", "_tag").orderBy("_doc")
+        docs = docs.join(few, ["_doc", "_tag"], "left_anti").withColumn("_copy", F.lit(False)).unionByName(docs.join(few, ["_doc", "_tag"], "left_semi").withColumn("_copy", F.row_number().over(equal) > 1))
+        copies = F.col("_copy")
+    rows = docs.join(by_row, ["_doc", "_tag"], "left").select(*names, "_go", copies.alias("_copy"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
         for b in batches:
             texts, n, removed = b.column(at).to_pylist(), [], []
-            for i, (t, go) in enumerate(zip(texts, b.column(len(names)).to_pylist(), strict=True)):
+            for i, (t, go, copy) in enumerate(zip(texts, b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True)):
                 lines = [] if t is None else t.split("\n")
-                if len(lines) > 1 or go:
-                    firsts = {k for k, _, _ in lines_of(t)}
+                if len(lines) > 1 or go or (copy and lines):
+                    firsts = set() if copy else {k for k, _, _ in lines_of(t)}
                     keep = [x for k, x in enumerate(lines) if (k in firsts or len(x.split()) < EXACT) and k not in (go or ())]
                     texts[i] = "\n".join(keep)
                     removed.append(len(lines) - len(keep))
@@ -199,7 +216,6 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, text: str = "text") -> Dat
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*names, "_lines", "_removed"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return rows.mapInArrow(drop, f"{kinds}, _lines long, _removed long")
 
 

@@ -162,6 +162,16 @@ def test_op2_short_lines(spark):
     assert linededup.brute(docs) == got
 
 
+def test_op2_rows_of_one_id(spark):
+    """Rows without or with the same doc_id lose only what they repeat; of two equal rows one keeps its lines."""
+    line = "p q r s t u v w"
+    docs = [(1, "hot line here now"), (2, "hot line here now\nonly in one\n" + line), (2, "own words\nonly in two\nthird of its own"), (3, "p q r s t u v z"), (3, "a1 a2 a3 a4 a5 a6"), (4, "a1 a2 a3 a4 a5 b6")]
+    docs += [(None, "n1\nhot line here now\nn3"), (None, "m1\nm2\nm3"), (None, "n4\n\nn5"), (None, "n4\n\nn5"), (5, "one"), (5, "one"), (6, None), (6, None)]
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in linededup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+    want = [(1, docs[0][1]), (2, "only in one\n" + line), docs[2], (3, ""), docs[4], (4, ""), (None, "n1\nn3"), docs[7], docs[8], (None, ""), (5, "one"), (5, ""), (6, None), (6, None)]
+    assert got == sorted((str(d), str(t)) for d, t in want)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
