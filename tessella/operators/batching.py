@@ -60,14 +60,25 @@ def row_size(schema: T.StructType, core: bool = False) -> Column:
     return total
 
 
-def plan(sizes: DataFrame, order: str, size: str, threshold: int = 64 << 20, samples: int = 100, initial: int = 100, least: int = 10) -> DataFrame:
-    """The planned batch size at each of the first ``samples`` rows of ``sizes``: ``initial`` for ten rows, then by their mean size."""
-    head = sizes.orderBy(order).limit(samples)
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    last = Window.orderBy(order).rowsBetween(-9, 0)
-    n, mean = F.count("*").over(w), F.floor(F.avg(size).over(w))
-    fit = F.greatest(F.lit(least), F.floor(F.lit(threshold * 8 // 10) / F.greatest(mean, F.lit(1)))).cast("long")
-    return head.select(order, size, n.alias("n"), F.when(n < 10, F.lit(initial)).otherwise(fit).cast("long").alias("batch_size"), F.floor(F.avg(size).over(last)).cast("long").alias("recent_mean"))
+def plan(sizes: DataFrame, order: str, size: str, threshold: int = 64 << 20, samples: int = 100, initial: int = 100, least: int = 10, parts: str | None = None) -> DataFrame:
+    """The planned batch size after each row of ``sizes``, with n, its number, and recent_mean, of the last ten.
+
+    ``initial`` until ``least`` rows, then by the mean size of the rows so far, up to ``samples``. After those, every 50th row
+    whose recent mean is over twice or under half of the samples' sets it by the recent mean; it stays until the next that does.
+    Each value of ``parts`` (a file) is one stream; without, all rows are.
+    """
+    w = Window.partitionBy(parts) if parts else Window.partitionBy(F.lit(0))
+    so_far = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    last = w.orderBy(order).rowsBetween(-9, 0)
+    n = F.count("*").over(so_far)
+    rows = sizes.select(*([parts] if parts else []), order, size, n.alias("n"), F.floor(F.avg(size).over(last)).cast("long").alias("recent_mean"))
+    rows = rows.withColumn("_mean", F.floor(F.avg(F.when(F.col("n") <= samples, F.col(size))).over(so_far)).cast("long"))
+    fit = lambda mean: F.greatest(F.lit(least), F.floor(F.lit(threshold * 8 // 10) / F.greatest(mean, F.lit(1)))).cast("long")
+    mean, recent, at = F.col("_mean"), F.col("recent_mean"), F.col("n")
+    drifted = (recent > mean * 2) | (recent < F.floor(mean / 2))
+    new = F.when((at >= least) & (at <= samples) & (mean > 0), fit(mean)).when((at > samples) & (at % 50 == 0) & drifted, fit(recent))
+    rows = rows.withColumn("_new", new)
+    return rows.withColumn("batch_size", F.coalesce(F.last("_new", ignorenulls=True).over(so_far), F.lit(initial)).cast("long")).drop("_new", "_mean")
 
 
 def core_batch_size(mean: Column, threshold: int = 100 << 20) -> Column:

@@ -572,7 +572,21 @@ SELECT doc_id, n, CAST(CASE WHEN n < 10 THEN 100 ELSE greatest(10, 800000 // mea
          floor(avg(bytes) OVER (ORDER BY doc_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) AS recent
   FROM (SELECT doc_id, {_DOC_SIZE} AS bytes FROM documents ORDER BY doc_id LIMIT 100))""")
 def z4_planner(spark: SparkSession, d: str) -> DataFrame:
-    """Z4 and the means that Z5 compares; the planner looks at its first hundred rows by definition."""
+    """Z4 over the rows of the sample, and the means that Z5 compares."""
+    t = scan.read_rows(spark, _path(d, "documents"))
+    sized = t.select("doc_id", batching.row_size(t.schema).alias("bytes"))
+    return batching.plan(sized, "doc_id", "bytes", threshold=1_000_000).where("n <= 100").select("doc_id", "n", "batch_size", "recent_mean")
+
+
+@query(f"""
+WITH sized AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, {_DOC_SIZE} AS bytes FROM documents),
+means AS (SELECT doc_id, n, CAST(floor(avg(bytes) FILTER (WHERE n <= 100) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS mean,
+                 CAST(floor(avg(bytes) OVER (ORDER BY n ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) AS BIGINT) AS recent FROM sized),
+steps AS (SELECT doc_id, n, recent, CASE WHEN n BETWEEN 10 AND 100 THEN greatest(10, 800000 // mean)
+                 WHEN n > 100 AND n % 50 = 0 AND (recent > mean * 2 OR recent < mean // 2) THEN greatest(10, 800000 // recent) END AS new FROM means)
+SELECT doc_id, n, CAST(coalesce(last_value(new IGNORE NULLS) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING), 100) AS BIGINT) AS batch_size, recent AS recent_mean FROM steps""")
+def z5_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Z4 and Z5 over every row: the batch size follows the recent rows where they drift from the sample."""
     t = scan.read_rows(spark, _path(d, "documents"))
     sized = t.select("doc_id", batching.row_size(t.schema).alias("bytes"))
     return batching.plan(sized, "doc_id", "bytes", threshold=1_000_000).select("doc_id", "n", "batch_size", "recent_mean")

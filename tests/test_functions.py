@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.functions import coerce, decode
+from tessella.operators import batching
 from tessella.plans import schema as schemas
 from tessella.session import settled
 from tessella.sources import scan, sink
@@ -107,3 +108,25 @@ def test_stream(spark, tmp_path):
     q = stream_rows(spark, str(tmp_path / "in"), df.schema, ["id"]).writeStream.format("memory").queryName("streamed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
     q.awaitTermination()
     assert spark.table("streamed").count() == 10 and spark.table("streamed").columns == ["id"]
+
+
+def test_plan_follows_drift(spark):
+    """Every row of two files against a plain model of the reference's batch manager."""
+    threshold, files = 1_000_000, {"a": [1000] * 130 + [10_000] * 100 + [1500] * 60 + [300] * 70, "b": [0] * 12 + [7, 900, 40] * 60 + [90_000] * 75}
+    want = {}
+    for file, sizes in files.items():
+        samples, recent, now = [], [], 100
+        for i, s in enumerate(sizes, 1):
+            recent = [*recent[-9:], s]
+            if len(samples) < 100:
+                samples.append(s)
+                if len(samples) >= 10 and sum(samples) // len(samples) > 0:
+                    now = max(10, int(threshold * 0.8) // (sum(samples) // len(samples)))
+            elif i % 50 == 0:
+                a, m = sum(recent) // len(recent), sum(samples) // len(samples)
+                if a > 2 * m or a < m // 2:
+                    now = max(10, int(threshold * 0.8) // a)
+            want[file, i] = (now, sum(recent) // len(recent))
+    rows = spark.createDataFrame([(f, i, s) for f, x in files.items() for i, s in enumerate(x)], "file string, at long, bytes long").repartition(3)
+    got = {(r["file"], r["n"]): (r["batch_size"], r["recent_mean"]) for r in batching.plan(rows, "at", "bytes", threshold, parts="file").collect()}
+    assert got == want and len({want["a", i][0] for i in range(101, 361)}) > 2
