@@ -28,15 +28,15 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/tessella/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here and lost executors cost nothing.
+def stored(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written to the shared folder (in folders of ``by``) and read again: lineage ends here and lost executors cost nothing.
 
     Shuffle files go when the driver collects what refers to them, so it is asked to, now that they are not needed.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out._scratch = path
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -59,6 +59,10 @@ def partitions(spark: SparkSession, size: int = 0, per: int = 128 << 20) -> int:
     return max(setting(spark, "spark.sql.shuffle.partitions", 200), -(-size // per))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
@@ -171,6 +175,72 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_P = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number modulo 2^64, and of its inverse; the longest so far are kept."""
+    if not _powers or _powers[0].size < n:
+        out = []
+        for base in (_P, pow(_P, -1, 1 << 64)):
+            p = np.full(max(n, 1 << 16), np.uint64(base))
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        if out[0].size > 1 << 23:  # for one very long text only
+            return out[0][:n], out[1][:n]
+        _powers[:] = out
+    return _powers[0][:n], _powers[1][:n]
+
+
+def span_hashes(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes ``x`` from each ``begin`` to its ``end``, by prefix sums."""
+    up, down = powers(x.size + 1)
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: x.size], dtype=np.uint64)]
+        return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
+# ---------------------------------------------------------------- records dealt by hash
+
+DEALT = "kind int, part int, data binary"
+
+
+def deal(kind: int, records: np.ndarray, parts: int) -> pa.RecordBatch:
+    """``records`` (a structured array with a hash ``h``) as a byte string for each part that has some: the JVM moves few rows."""
+    part = (records["h"] % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, records = part[order], records[order]
+    begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if part.size else np.zeros(0, dtype=np.int64)
+    end = np.r_[begin[1:], part.size]
+    data = [records[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(data), pa.int32()), pa.array(part[begin]), pa.array(data, pa.binary())], ["kind", "part", "data"])
+
+
+def gathered(dealt: DataFrame, dtype: np.dtype, f: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str, whole: bool = True) -> DataFrame:
+    """``f`` of all records of each part; a part's are in memory at once, so parts are many enough to be small.
+
+    Not ``whole``: of each byte string where it lies, without a shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for b in batches:
+            for p, data in zip(b.column(0), b.column(1), strict=True):
+                if (p := p.as_py()) != part or not whole:
+                    if held:
+                        yield from f(np.concatenate(held))
+                    part, held = p, []
+                held.append(np.frombuffer(data.as_py(), dtype=dtype))
+        if held:
+            yield from f(np.concatenate(held))
+
+    dealt = dealt.select("part", "data")
+    if whole:
+        dealt = dealt.repartition(partitions(dealt.sparkSession), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- fixed-size membership filters
 
 

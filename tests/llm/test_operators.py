@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,49 @@ def test_op2_rows_of_one_id(spark):
     assert got == sorted((str(d), str(t)) for d, t in want)
 
 
+def test_lines_split_as_python_does():
+    r = random.Random(3)
+    blanks = [c for c in map(chr, range(0x3100)) if c.isspace()]
+    texts = ["".join(r.choice([*blanks, "a", "b", "é", "日", "\u2010", "\x1b", "\n", " "]) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    got = linededup.Lines(texts)
+    words = [line.split() for t in texts for line in t.split("\n")]
+    assert got.size.tolist() == [len(w) for w in words]
+    by = {}
+    for h, w in zip(got.words.tolist(), [x for w in words for x in w], strict=True):
+        assert by.setdefault(h, w) == w
+    assert len(by) == len(set(by.values()))
+
+
+def test_op2_long_lines_and_clashing_columns(spark):
+    """A line of 200,000 words with one replaced, one of one word, and columns with the names that the operator uses inside."""
+    r = random.Random(1)
+    long = [f"w{r.randrange(10**6)}" for _ in range(200_000)]
+    near = [*long[:150_000], "other", *long[150_001:]]
+    docs = [(1, " ".join(long) + "\nx", 1, 1, 1, "a", 1), (2, "x\n\u2003\n" + " ".join(near), 2, 2, 2, "b", 2), (3, " ".join(near[1:]) + " end\ny", 3, 3, 3, "c", 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, row int, line int, go int, `a.b` string, _lines int")
+    got = {x["doc_id"]: x for x in linededup.deduplicated(df).collect()}
+    assert got[1]["text"] == docs[0][1] and got[2]["text"] == "\u2003" and got[3]["text"] == docs[2][1]
+    assert [(x["row"], x["line"], x["go"], x["a.b"], x["_lines"], x["_removed"]) for _, x in sorted(got.items())] == [(1, 1, 1, "a", 2, 0), (2, 2, 2, "b", 3, 2), (3, 3, 3, "c", 2, 0)]
+
+
+@pytest.mark.parametrize("held", [3, 40])
+def test_op2_in_small_pieces(spark, sf, docs, held, monkeypatch):
+    """The same whatever a task holds at once."""
+    want = linededup.brute(list(docs.items()))
+    rows = spark.createDataFrame([(k, t) for k, t in docs.items()], "doc_id long, text string")
+
+    for name, n in (("PIECE", 50), ("HELD", held), ("KNOWN", 3)):
+        monkeypatch.setattr(linededup, name, n)
+    pieces = list(linededup._pieces(iter([pa.RecordBatch.from_arrays([pa.array([k for k, t in docs.items() if t is not None], pa.int64()), pa.array([t for t in docs.values() if t is not None])], ["row", "text"])]), 50))
+    whole = {}
+    for r, f, t in pieces:
+        for row, first, text in zip(r, f, t, strict=True):
+            assert first == (whole[row].count("\n") + 1 if row in whole else 0)
+            whole[row] = whole[row] + "\n" + text if row in whole else text
+    assert whole == {k: t for k, t in docs.items() if t is not None}
+    assert {r["doc_id"]: r["text"] for r in linededup.deduplicated(rows).collect()} == want
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
