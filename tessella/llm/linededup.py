@@ -369,7 +369,9 @@ def _near(docs: DataFrame, census: DataFrame, parts: int) -> DataFrame:
                 ok.append(min(len(x), len(y)) >= NEAR - 1 and max(len(x), len(y)) >= NEAR and within_one(x, y))
             yield pa.RecordBatch.from_arrays(list(b.columns[:2]), ["row", "line"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(verify, "row long, line int")
+    near = common.stored(pairs.mapInArrow(verify, "row long, line int"), "line-near")
+    common.dropped(found)
+    return near
 
 
 def _rows(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
@@ -398,8 +400,10 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, text: str = "text", n_line
     census = common.stored(_census(texts, parts, edits == 1), "lines", ("kind",))
     go = _places(census.where(F.col("kind") == KEYS), _KEY, _copies, ("row", "line"))
     go = go.unionByName(_places(census.where(F.col("kind") == AGAIN), _KEY, lambda r: (r["row"], r["line"]), ("row", "line"), False))
+    go = common.stored(go, "line-copies")
     if edits:
         go = go.unionByName(_near(texts, census, parts))
+    common.dropped(census)
     by_row = go.groupBy("row").agg(F.collect_set("line").alias("go"))
     rows = docs.join(by_row, "row", "left").select(*[f.name for f in fields], "go", "copy")
 
