@@ -3,26 +3,35 @@
 Every byte inside a ``LENGTH``-byte string that also starts in a document with a smaller doc_id goes.
 Strings are judged on the input; matches do not cross documents.
 
-1. A string's minimizer is the least hash among the ``K``-byte strings in it, so equal strings have equal
+1. Documents are cut where a hash of 8 bytes says so. A chunk, with the ``LENGTH - 1`` bytes behind it, holds
+   all strings that start in it: if a smaller document has an equal chunk, they all go. What is left to sort are first chunks, which hold
+   the first of every string.
+2. A string's minimizer is the least hash among the ``K``-byte strings in it, so equal strings have equal
    minimizers. Each document's different minimizers are counted over the corpus into two bitmaps of
    fixed size: those that two documents have, and those that very many have. Other strings repeat nothing.
-2. Consecutive strings that may repeat, with one minimizer of ``DEAL`` bytes, form a segment. Tasks send each
+3. Consecutive strings that may repeat, with one minimizer of ``DEAL`` bytes, form a segment. Tasks send each
    different segment once, with its smallest doc_id, to the shard of that minimizer; where very many documents
    share, strings are sent one by one and dealt by their own hash, which splits the shard and merges what is equal.
-3. A shard sorts the suffixes of its segments (see ``induced``), and equal strings, now neighbours, get the smallest
-   doc_id among them. A segment alone with its minimizer needs no sorting: its strings are nowhere else. So for each segment it is known what goes in its first document;
+4. A shard sorts the suffixes of its segments by external induction (see ``induced``), which also gives the common prefixes of
+   neighbours: strings that share ``LENGTH`` bytes get the smallest doc_id among them. A segment alone with its minimizer needs
+   no sorting: its strings are nowhere else. So for each segment it is known what goes in its first document;
    in any later document the whole segment goes.
-4. Documents learn this by the segment's hash, and drop the union of their ranges.
+5. Documents learn this by the segment's hash, and drop the union of their ranges.
+
+A shard has about ``SHARD`` bytes, or one group if that is larger; of a group over ``MEMORY`` symbols text, order and common prefixes are
+files of the task. The bitmaps only thin out what is sorted: where they fill up, more is, and results are the same.
 
 Edge cases: null and empty texts have no bytes; texts under ``LENGTH`` bytes keep all; rows that share
-a doc_id are not smaller than each other, so neither loses what only the other has; rows with a null
+a doc_id are not smaller than each other, so neither loses what only the other has (they are told apart by a hash of their text); rows with a null
 doc_id keep all and are no one's source; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,30 +39,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
-from .induced import suffix_array
+from . import common, induced
 
 LENGTH, K, DEAL = 50, 32, 16
+#: Chunks have 2^CUT bytes on average.
+CUT = 7
 #: A minimizer in this many documents is split by the strings themselves.
 MANY = 4096
-#: Bytes that are sorted at once where groups are small; one larger group is sorted as a whole.
-SHARD = 1_000_000
-
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LIMIT = 1 << 22
-_tables: list[np.ndarray] = []
+#: Bytes that are sorted at once where groups are small, and symbols of a larger group that memory holds.
+SHARD, MEMORY = 1_000_000, 1 << 22
+#: Strings of a segment at most (only periodic text has more with one minimizer), and records that a task groups before it sends them.
+RUN, HELD = 4096, 200_000
+#: Bytes of text for each part that chunks are dealt to.
+PER_PART = 16 << 20
 
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _tables or _tables[0].size < n:
-        out = []
-        for base in (_P, _P_INVERSE):
-            p = np.full(max(n, _LIMIT), base, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _tables[:] = out
-    return _tables[0][:n], _tables[1][:n]
+_CHUNK = np.dtype([("h", "<u8"), ("k", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("n", "<i4")])
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
@@ -65,26 +65,47 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: h.size - (w - span)], h[w - span :]) if w > span else h
 
 
+def chunks(text: bytes, length: int = LENGTH) -> np.ndarray:
+    """Where the chunks of a text's strings begin: cuts depend on 8 bytes, and never lie inside a run of one byte."""
+    n = len(text) - length + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    eight = np.ndarray(n, dtype="<u8", buffer=text, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = (eight * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CUT)
+    cut = np.flatnonzero((h[1:] == 0) & (eight[1:] != eight[:-1])) + 1
+    return np.r_[0, cut]
+
+
 class Windows:
-    """The strings of ``length`` bytes in several texts, and their minimizers."""
+    """The strings of ``length`` bytes in several texts, less those that start in ranges ``gone`` of each, and their minimizers."""
 
-    def __init__(self, texts: list[bytes], length: int = LENGTH, k: int = K):
+    def __init__(self, texts: list[bytes], gone: list[list[tuple[int, int]]] | None = None, length: int = LENGTH, k: int = K):
         self.data, self.length = b"".join(texts), length
         x = np.frombuffer(self.data, dtype=np.uint8)
         size = np.array([len(t) for t in texts], dtype=np.int64)
         self.begin = np.cumsum(size) - size
         counts = np.maximum(size - length + 1, 0)
         self.at = np.repeat(self.begin - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))  # where each string starts in data
-        self.least = np.zeros(0, dtype=np.uint64)
         self.doc = np.repeat(np.arange(size.size), counts)
+        if gone and any(gone):
+            there = np.ones(x.size, dtype=bool)
+            for b, ranges in zip(self.begin.tolist(), gone, strict=True):
+                for at, n in ranges:
+                    there[b + at : b + at + n] = False
+            keep = there[self.at]
+            self.at, self.doc = self.at[keep], self.doc[keep]
+        self.least = np.zeros(0, dtype=np.uint64)
         if self.at.size:
-            up, self.down = _powers(x.size)
+            up, self.down = common.powers(x.size + 1)
             with np.errstate(over="ignore"):
-                self.sums = np.r_[np.uint64(0), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)]
+                self.sums = np.r_[np.uint64(0), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: x.size], dtype=np.uint64)]
             self.least = self._minimizers(k)[self.at]
 
     def _minimizers(self, k: int) -> np.ndarray:
-        return _least(self._hashes(np.arange(len(self.data) - k + 1), k), self.length - k + 1)
+        with np.errstate(over="ignore"):
+            h = common.mixed((self.sums[k:] - self.sums[:-k]) * self.down[: self.sums.size - k])
+        return _least(h, self.length - k + 1)
 
     def _hashes(self, at: np.ndarray, k: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -119,113 +140,235 @@ class Windows:
         group = self._minimizers(DEAL)[p]
         group[often] = self._hashes(p[often], self.length)
         new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1] + 1) | (d[1:] != d[:-1]) | (group[1:] != group[:-1]) | often[1:] | often[:-1]])
+        n = np.diff(np.r_[new, one.size])
+        if n.max() > RUN:  # periodic text
+            parts = -(-n // RUN)
+            new = np.repeat(new, parts) + RUN * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
         last = np.r_[new[1:], one.size] - 1
         start = self.begin[d[new]]
         yield from zip(d[new].tolist(), (p[new] - start).tolist(), (p[last] - start + self.length).tolist(), group[new].view(np.int64).tolist(), strict=True)
 
 
-def _read(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
-    for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        at = 0
-        while at < len(ids):
-            to, n, some = at, 0, []
-            while to < len(ids) and n < size:
-                some.append((texts[to] or "").encode("utf-8", "surrogatepass"))
-                n += len(some[-1])
-                to += 1
-            yield ids[at:to], some
-            at = to
+def _data(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _later(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of chunks sorted by (hash, doc): the records, and which of them a smaller document has."""
+    records = records[np.lexsort((records["doc"], records["k"], records["h"]))]
+    new = np.r_[True, (records["h"][1:] != records["h"][:-1]) | (records["k"][1:] != records["k"][:-1])]
+    first = records["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return records, records["doc"] > first
+
+
+_GONE = "doc long, tag long, at int, n int"
+MET, SENT = 0, 1
 
 
-def _tag(text: bytes) -> int:
-    """16 bits that tell rows with one doc_id apart."""
-    return xxhash.xxh3_64_intdigest(text) & 0xFFFF
+def _gone(rows: DataFrame, size: int) -> DataFrame:
+    """``_GONE``: the chunks that equal one of a smaller document. ``rows``: doc, tag, text."""
+    parts = common.partitions(rows.sparkSession, size, PER_PART)
+    most = HELD
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            records, later = _later(np.concatenate(held))
+            if later.any():
+                yield common.deal(MET, records[later], 1)
+            yield common.deal(SENT, records[~later], parts)
+            held.clear()
+
+        for b in batches:
+            for doc, tag, text in zip(*b.columns, strict=True):
+                data = _data(text.as_py())
+                begin = chunks(data)
+                if not begin.size:
+                    continue
+                end = np.r_[begin[1:], len(data) - LENGTH + 1]
+                keys = b"".join([xxhash.xxh3_128_digest(data[x : y + LENGTH - 1]) for x, y in zip(begin.tolist(), end.tolist(), strict=True)])
+                out = np.empty(begin.size, dtype=_CHUNK)
+                out["h"], out["k"] = np.frombuffer(keys, dtype="<u8").reshape(-1, 2).T
+                out["doc"], out["tag"], out["at"], out["n"] = doc.as_py(), tag.as_py(), begin, end - begin
+                held.append(out)
+                size += begin.size
+                if size > most:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    def told(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(records[c]) for c in ("doc", "tag", "at", "n")], ["doc", "tag", "at", "n"])
+
+    def judged(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        records, later = _later(records)
+        yield from told(records[later])
+
+    dealt = common.stored(rows.mapInArrow(emit, common.DEALT), "repeats-chunks", ("kind",))
+    met = common.gathered(dealt.where(F.col("kind") == MET), _CHUNK, told, _GONE, False)
+    gone = common.stored(met.unionByName(common.gathered(dealt.where(F.col("kind") == SENT), _CHUNK, judged, _GONE)), "repeats-gone")
+    common.dropped(dealt)
+    return gone
+
+
+def _read(batches: Iterator[pa.RecordBatch], size: int = 1 << 18) -> Iterator[tuple[list[int], list[int], list[bytes], list[list[tuple[int, int]]]]]:
+    """(rows, docs, texts, gone) of a few documents at a time, without those that are gone whole."""
+    rows, docs, texts, gone, n = [], [], [], [], 0
+    for b in batches:
+        for row, doc, text, at, k in zip(*b.columns, strict=True):
+            data, doc = _data(text.as_py()), doc.as_py()
+            ranges = list(zip(at.as_py() or (), k.as_py() or (), strict=True))
+            if doc is None or sum(k for _, k in ranges) >= len(data) - LENGTH + 1:
+                continue
+            rows.append(row.as_py())
+            docs.append(doc)
+            texts.append(data)
+            gone.append(ranges)
+            n += len(data)
+            if n > size:
+                yield rows, docs, texts, gone
+                rows, docs, texts, gone, n = [], [], [], [], 0
+    if rows:
+        yield rows, docs, texts, gone
 
 
 def _census(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = common.Census()
-        for _, texts in _read(batches):
-            yield from held.add(Windows(texts).different())
+        for _, _, texts, gone in _read(batches):
+            yield from held.add(Windows(texts, gone).different())
         yield from held.flush()
 
     return rows.mapInArrow(count, common.Census.SCHEMA)
 
 
+SEGMENT, OCCURRENCE, REPEAT = range(3)
+
+
 def _segments(rows: DataFrame, shared, many) -> DataFrame:
-    """(group, segment, doc): each task's different segments, with the smallest doc_id among its own."""
+    """Different segments with the smallest doc_id of those that a task holds; the places where segments are in those documents;
+    the places of others, which are repeats."""
+    names = ["kind", "key", "group", "segment", "doc", "row", "at", "n"]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    most = HELD
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
+        first: dict[bytes, int] = {}
+        new: dict[bytes, tuple[int, bytes]] = {}
+        places: list[tuple[bytes, int, int, int, int]] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v[0] for v in seen.values()], pa.int64()), pa.array(seen.keys(), pa.binary()), pa.array([v[1] for v in seen.values()], pa.int64())], ["group", "segment", "doc"])
-
-        for ids, texts in _read(batches):
-            for d, a, b, group in Windows(texts).segments(shared.value, many.value):
+        def flush() -> Iterator[pa.RecordBatch]:
+            if new:
+                keys = list(new)
+                cols = [np.full(len(keys), SEGMENT), keys, [g for g, _ in new.values()], [s for _, s in new.values()], [first[k] for k in keys]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=False)), *(pa.nulls(len(keys), t) for t in kinds[5:])], names)
+            if places:
+                key, doc, row, at, n = zip(*places, strict=True)
+                kind = [OCCURRENCE if first[k] == d else REPEAT for k, d in zip(key, doc, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(kind, kinds[0]), pa.array(key, kinds[1]), pa.nulls(len(key), kinds[2]), pa.nulls(len(key), kinds[3]), *(pa.array(c, t) for c, t in zip((doc, row, at, n), kinds[4:], strict=True))], names)
+            for x in (first, new, places):
+                x.clear()
+
+        for rows, docs, texts, gone in _read(batches):
+            for d, a, b, group in Windows(texts, gone).segments(shared.value, many.value):
                 s = texts[d][a:b]
-                if (v := seen.get(s)) is None:
-                    seen[s] = [group, ids[d]]
-                    size += b - a + 150
-                elif ids[d] < v[1]:
-                    v[1] = ids[d]
-            if size > 32 << 20:
-                yield flush()
-                seen.clear()
+                key, doc = xxhash.xxh3_128_digest(s), docs[d]
+                if key not in first:
+                    first[key] = doc
+                    new[key] = (group, s)
+                    size += b - a + 200
+                elif doc < first[key]:
+                    first[key] = doc
+                places.append((key, doc, rows[d], a, b - a))
+            if size > 24 << 20 or len(places) > most:
+                yield from flush()
                 size = 0
-        if seen:
-            yield flush()
-
-    return rows.mapInArrow(emit, "group long, segment binary, doc long")
-
-
-def _occurrences(rows: DataFrame, shared, many) -> DataFrame:
-    """(segment's hash, doc, start << 16 | tag, length) of every segment of every document."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _read(batches):
-            tags = [_tag(t) for t in texts]
-            out = [(xxhash.xxh3_128_digest(texts[d][a:b]), ids[d], a << 16 | tags[d], b - a) for d, a, b, _ in Windows(texts).segments(shared.value, many.value)]
-            if out:
-                key, doc, at, n = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32())], ["key", "doc", "at", "n"])
-
-    return rows.mapInArrow(emit, "key binary, doc long, at long, n int")
-
-
-def repeats(segments: list[bytes], docs: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each different segment the ranges covered by strings that also start in a smaller document than its own."""
-    size = np.array([len(s) for s in segments], dtype=np.int64)
-    text = np.frombuffer(b"\0".join(segments), dtype=np.uint8).astype(np.int64) + 2
-    begin = np.cumsum(size + 1) - size - 1
-    text[begin[1:] - 1] = 1  # between segments: below every byte
-    owner = np.repeat(np.arange(size.size), size + 1)[: text.size]
-    left = np.repeat(begin + size, size + 1)[: text.size] - np.arange(text.size)
-    order = suffix_array(text)
-    order = order[left[order] >= length]
-    if not order.size:
-        return [[] for _ in segments]
-    # the common prefix of neighbours reaches ``length``: compared as words of 8 bytes, the last ones overlapping
-    word = np.zeros(text.size, dtype=np.uint64)
-    byte = (text - 2).astype(np.uint64)
-    for j in range(8):
-        word[: text.size - j] |= (byte[j:] & np.uint64(255)) << np.uint64(8 * j)
-    same = np.ones(order.size - 1, dtype=bool)
-    for j in [*range(0, length - 7, 8), length - 8]:
-        w = word[order + j]
-        same &= w[1:] == w[:-1]
-    firsts = np.flatnonzero(np.r_[True, ~same])
-    mine = np.array(docs, dtype=np.int64)[owner[order]]
-    least = np.repeat(np.minimum.reduceat(mine, firsts), np.diff(np.r_[firsts, order.size]))
-    go = np.sort(order[least < mine])
-    out: list[list[tuple[int, int]]] = [[] for _ in segments]
-    if go.size:
-        cut = np.r_[True, (go[1:] > go[:-1] + length) | (owner[go[1:]] != owner[go[:-1]])]
-        a, b = go[cut], go[np.r_[cut[1:], True]] + length
-        for s, x, y in zip(owner[a].tolist(), a.tolist(), b.tolist(), strict=True):
-            out[s].append((x - int(begin[s]), y - int(begin[s])))
+        yield from flush()
+
+    return rows.mapInArrow(emit, "kind int, key binary, group long, segment binary, doc long, row long, at int, n int")
+
+
+class Shard:
+    """Segments to be sorted together: their bytes one after another, each with a separator, in memory or (``most`` exceeded) in a file."""
+
+    def __init__(self, folder: Path, most: int):
+        self.path, self.most = folder / "segments", most
+        self.keys: list[bytes] = []
+        self.docs: list[int] = []
+        self.sizes: list[int] = []
+        self.held: list[bytes] = []
+        self.size = self.written = 0
+
+    def add(self, key: bytes, segment: bytes, doc: int) -> None:
+        self.keys.append(key)
+        self.docs.append(doc)
+        self.sizes.append(len(segment))
+        self.held.append(segment)
+        self.size += len(segment) + 1
+        if self.size - self.written > self.most:
+            with self.path.open("ab") as f:
+                self._symbols().tofile(f)
+            self.held.clear()
+            self.written = self.size
+
+    def _symbols(self) -> np.ndarray:
+        out = np.frombuffer(b"\0".join([*self.held, b""]), dtype=np.uint8).astype(np.uint16)
+        out += 1
+        ends = np.cumsum([len(s) + 1 for s in self.held]) - 1
+        out[ends] = 0  # between segments: below every byte
+        return out
+
+    def symbols(self) -> np.ndarray:
+        if not self.written:
+            return self._symbols()
+        if self.held:
+            with self.path.open("ab") as f:
+                self._symbols().tofile(f)
+        return np.memmap(self.path, dtype=np.uint16, mode="r")
+
+
+def repeats(shard: Shard, folder: Path, length: int = LENGTH, memory: int = MEMORY) -> list[list[tuple[int, int]]]:
+    """For each segment of ``shard`` the ranges covered by strings that also start in a smaller document than its own."""
+    text = shard.symbols()
+    end = np.cumsum(np.array(shard.sizes, dtype=np.int64) + 1) - 1
+    docs = np.array(shard.docs, dtype=np.int64)
+    order, pre = induced.suffix_array(text, memory, folder)
+    space = induced.Space(folder, memory)
+    go = space.array(text.size, bool)
+    a = 0
+    while a < order.size:
+        b, step = min(order.size, a + space.step), space.step
+        while b < order.size:  # where a neighbour has less in common no group goes on
+            cuts = np.flatnonzero(np.asarray(pre[a + 1 : b + 1]) < length)
+            if cuts.size:
+                b = a + 1 + int(cuts[-1])
+                break
+            step *= 2
+            b = min(order.size, b + step)
+        item, same = np.array(order[a:b]), np.array(pre[a:b])
+        group = np.cumsum(same < length)
+        owner = np.searchsorted(end, item)
+        fits = end[owner] - item >= length
+        item, group, doc = item[fits], group[fits], docs[owner[fits]]
+        if item.size:
+            firsts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            least = np.repeat(np.minimum.reduceat(doc, firsts), np.diff(np.r_[firsts, item.size]))
+            go[item[least < doc]] = True
+        a = b
+    out: list[list[tuple[int, int]]] = [[] for _ in shard.sizes]
+    begin = end - np.array(shard.sizes)
+    for a, b in space.cuts(go.size):
+        at = np.flatnonzero(go[a:b]) + a
+        if at.size:
+            owner = np.searchsorted(end, at)
+            cut = np.r_[True, (at[1:] > at[:-1] + length) | (owner[1:] != owner[:-1])]
+            x, y, of = at[cut], at[np.r_[cut[1:], True]] + length, owner[cut]
+            for s, i, j in zip(of.tolist(), (x - begin[of]).tolist(), (y - begin[of]).tolist(), strict=True):
+                out[s].append((i, j))
     return out
 
 
@@ -234,66 +377,64 @@ _RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 def _sorted_shards(segments: DataFrame) -> DataFrame:
     """(key, first, ranges) of every different segment: its smallest doc_id and what goes there."""
+    most, memory = SHARD, MEMORY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone: list[tuple[bytes, int]] = []  # segments that are all of their group
-        names: list[bytes] = []
-        docs: list[int] = []
-        begin, size, group = 0, 0, None  # the group's segments are names[begin:]
+        group, one = None, None  # the group and its first segment, while it has no other
 
-        def close() -> None:
-            nonlocal begin
-            if len(names) == begin + 1:
-                alone.append((names.pop(), docs.pop()))
-            begin = len(names)
+        def told(keys: list[bytes], docs: list[int], found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in r] for r in found], _RANGES)], ["key", "first", "ranges"])
 
-        def done() -> pa.RecordBatch:
-            out = [[{"a": a, "b": b} for a, b in r] for r in repeats(names, docs)] if names else []
-            every = [*names, *(s for s, _ in alone)]
-            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in every], pa.binary()), pa.array([*docs, *(d for _, d in alone)], pa.int64()), pa.array(out + [[]] * len(alone), _RANGES)], ["key", "first", "ranges"])
+        def rows() -> Iterator[tuple[int, bytes, bytes, int]]:
+            for b in batches:
+                for g, k, s, d in zip(*b.columns, strict=True):
+                    yield g.as_py(), k.as_py(), s.as_py(), d.as_py()
 
-        for b in batches:
-            for g, s, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        with tempfile.TemporaryDirectory(prefix="repeats-") as top:
+            number = 0
+
+            def fresh() -> tuple[Path, Shard]:
+                nonlocal number
+                number += 1
+                folder = Path(top) / str(number)
+                folder.mkdir()
+                return folder, Shard(folder, memory)
+
+            folder, shard = fresh()
+            for g, k, s, d in rows():
                 if g != group:
-                    close()
-                    group = g
-                    if size > SHARD or len(alone) > 50_000:
-                        yield done()
-                        names.clear()
-                        docs.clear()
+                    if one is not None:
+                        alone.append((one[0], one[2]))
+                    group, one = g, (k, s, d)
+                    if shard.size > most:
+                        yield told(shard.keys, shard.docs, repeats(shard, folder, memory=memory))
+                        folder, shard = fresh()
+                    if len(alone) > 20_000:
+                        yield told([x for x, _ in alone], [x for _, x in alone], [[]] * len(alone))
                         alone.clear()
-                        begin = size = 0
-                elif len(names) > begin and s == names[-1]:
-                    docs[-1] = min(docs[-1], d)
-                    continue
-                elif len(names) == begin + 1:
-                    size += len(names[-1])
-                names.append(s)
-                docs.append(d)
-                if len(names) > begin + 1:
-                    size += len(s)
-        close()
-        if names or alone:
-            yield done()
-
-    rows = segments.repartition(common.partitions(segments.sparkSession), "group").sortWithinPartitions("group", "segment")
+                elif one is not None:
+                    if k == one[0]:
+                        one = (k, s, min(d, one[2]))
+                    else:
+                        shard.add(*one)
+                        shard.add(k, s, d)
+                        one = None
+                elif k == shard.keys[-1]:
+                    shard.docs[-1] = min(d, shard.docs[-1])
+                else:
+                    shard.add(k, s, d)
+            if one is not None:
+                alone.append((one[0], one[2]))
+            if shard.size:
+                yield told(shard.keys, shard.docs, repeats(shard, folder, memory=memory))
+            if alone:
+                yield told([x for x, _ in alone], [x for _, x in alone], [[]] * len(alone))
+
+    rows = segments.select("group", "key", "segment", "doc").repartition(common.partitions(segments.sparkSession), "group").sortWithinPartitions("group", "key")
     return rows.mapInArrow(run, "key binary, first long, ranges array<struct<a: long, b: long>>")
 
 
-def ranges(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc, tag, ranges): what goes from each document that loses anything; ranges may overlap."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where("doc is not null and text is not null")
-    shared, many = common.Census.filters(_census(rows), (2, MANY))
-    shared, many = spark.sparkContext.broadcast(shared), spark.sparkContext.broadcast(many)
-    known = _sorted_shards(_segments(rows, shared, many))
-    found = _occurrences(rows, shared, many).join(known, "key")
-    start = F.shiftright("at", 16)
-    own = F.transform("ranges", lambda r: F.struct((r["a"] + start).alias("a"), (r["b"] + start).alias("b")))
-    found = found.select("doc", F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"), F.when(F.col("doc") > F.col("first"), F.array(F.struct(start.alias("a"), (start + F.col("n")).alias("b")))).otherwise(own).alias("r"))
-    return found.where(F.size("r") > 0).groupBy("doc", "tag").agg(F.flatten(F.collect_list("r")).alias("ranges"))
-
-
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -305,32 +446,59 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _numbered(docs: DataFrame, text: str) -> DataFrame:
+    """(row, doc, text, at, n) of every row: a number of its own, and the starts and sizes of its chunks that are gone."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumn("tag", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    gone = _gone(rows.where("doc is not null and text is not null").select("doc", "tag", "text"), size)
+    by_row = gone.groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n")).alias("g")).select("doc", "tag", F.col("g.at").alias("at"), F.col("g.n").alias("n"))
+    out = common.stored(rows.join(by_row, ["doc", "tag"], "left").select(F.monotonically_increasing_id().alias("row"), "doc", "text", "at", "n"), "repeats-rows")
+    common.dropped(gone)
+    return out
+
+
 def kept(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, data (the bytes that stay), n_bytes, n_removed and n_spans of every row."""
-    found = ranges(docs, text)
-
-    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_tag((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.int32())], ["doc_id", "text", "tag"])
+    spark = docs.sparkSession
+    rows = _numbered(docs, text)
+    shared, many = common.Census.filters(_census(rows), (2, MANY))
+    shared, many = spark.sparkContext.broadcast(shared), spark.sparkContext.broadcast(many)
+    sent = common.stored(_segments(rows, shared, many), "repeats-segments", ("kind",))
+    known = _sorted_shards(sent.where(F.col("kind") == SEGMENT))
+    found = sent.where(F.col("kind") == OCCURRENCE).select("key", "doc", "row", F.col("at").cast("long").alias("at"), "n").join(known, "key")
+    own = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["b"] + F.col("at")).alias("b")))
+    whole = F.array(F.struct(F.col("at").cast("long").alias("a"), (F.col("at") + F.col("n")).cast("long").alias("b")))
+    found = found.select("row", F.when(F.col("doc") > F.col("first"), whole).otherwise(own).alias("r")).where(F.size("r") > 0)
+    found = common.stored(found.unionByName(sent.where(F.col("kind") == REPEAT).select("row", whole.alias("r"))), "repeats-found")
+    common.dropped(sent)
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, t, go in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = (t or "").encode("utf-8", "surrogatepass")
-                spans = merged([(r["a"], r["b"]) for r in go or ()])
-                rest, at = [], 0
+            out, size = [], 0
+
+            def done() -> pa.RecordBatch:
+                cols = list(zip(*out, strict=True)) if out else [[]] * 5
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "data", "n_bytes", "n_removed", "n_spans"])
+
+            for doc, t, at, n, go in zip(*b.columns, strict=True):
+                data = _data(t.as_py())
+                spans = merged([*((a, a + k + LENGTH - 1) for a, k in zip(at.as_py() or (), n.as_py() or (), strict=True)), *((r["a"], r["b"]) for r in go.as_py() or ())])
+                rest, end = [], 0
                 for x, y in spans:
-                    rest.append(data[at:x])
-                    at = y
-                rest.append(data[at:])
+                    rest.append(data[end:x])
+                    end = y
+                rest.append(data[end:])
                 left = b"".join(rest)
-                out.append((doc, left, len(data), len(data) - len(left), len(spans)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "data", "n_bytes", "n_removed", "n_spans"])
+                out.append((doc.as_py(), left, len(data), len(data) - len(left), len(spans)))
+                size += len(left)
+                if size > 4 << 20:
+                    yield done()
+                    out, size = [], 0
+            yield done()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tagged, "doc_id long, text string, tag int")
-    both = rows.join(found.select(F.col("doc").alias("doc_id"), "tag", "ranges"), ["doc_id", "tag"], "left").select("doc_id", "text", "ranges")
+    both = rows.join(found, "row", "left").select(F.col("doc").alias("doc_id"), "text", "at", "n", "ranges")
     return both.mapInArrow(drop, "doc_id long, data binary, n_bytes long, n_removed long, n_spans long")
 
 

@@ -307,20 +307,64 @@ def test_packing_in_bins_of_a_class(spark):
     assert len(rows) == 170 and sum(v == 4095 for v in size.values()) == 33 and max(size.values()) <= 4096
 
 
+def in_order(t):
+    order = sorted(range(t.size), key=lambda i: t[i:].tolist())
+    common = [0] * t.size
+    for j in range(1, t.size):
+        a, b = t[order[j - 1] :].tolist(), t[order[j] :].tolist()
+        common[j] = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return order, common
+
+
 def test_suffix_order():
+    """Orders and common prefixes, whatever the memory: with 4 items all arrays and queues are files."""
     r = np.random.default_rng(4)
-    for k in range(60):
+    for k in range(90):
         t = r.integers(0, r.choice([1, 2, 4, 40]), r.integers(0, 120))
         t = np.r_[t, t[:20], t] if k % 2 else t
-        assert induced.suffix_array(t, memory=int(r.choice([4, 64, 1 << 20]))).tolist() == sorted(range(t.size), key=lambda i: t[i:].tolist())
-
-
-@pytest.mark.parametrize("many", [4096, 3])
-def test_op6(spark, sf, docs, many, monkeypatch):
+        order, common = induced.suffix_array(t, memory=int(r.choice([4, 64, 1 << 20])))
+        assert (order.tolist(), common.tolist()) == in_order(t)
+
+
+def test_queue_far_larger_than_its_memory(tmp_path):
+    """A text of many times the memory: ranges ahead go to files, and come back in order."""
+    r = np.random.default_rng(8)
+    t = np.r_[r.integers(97, 101, 60_000), r.integers(97, 123, 20_000)]
+    t = np.r_[t, t[5_000:25_000]].astype(np.uint8)
+    order, common = induced.suffix_array(t, memory=4096, folder=tmp_path)
+    assert isinstance(order.base, np.memmap) or isinstance(order, np.memmap)
+    want, alike = induced.suffix_array(t)
+    assert (np.asarray(order) == want).all() and (np.asarray(common) == alike).all() and sorted(want.tolist()) == list(range(t.size))
+    data = t.tobytes()
+    for j in r.integers(1, t.size, 500).tolist():
+        a, b, k = int(want[j - 1]), int(want[j]), int(alike[j])
+        assert data[a : a + k] == data[b : b + k] and data[a + k : a + k + 1] < data[b + k : b + k + 1]
+
+
+@pytest.mark.parametrize(("many", "memory"), [(4096, 1 << 22), (3, 1 << 22), (4096, 500)])
+def test_op6(spark, sf, docs, many, memory, monkeypatch):
     monkeypatch.setattr(suffixdedup, "MANY", many)
+    monkeypatch.setattr(suffixdedup, "MEMORY", memory)
+    monkeypatch.setattr(suffixdedup, "HELD", 20 if memory == 500 else 200_000)
     assert {r["doc_id"]: tuple(r)[1:] for r in suffixdedup.op6_suffix_dedup(spark, sf).collect()} == suffixdedup.brute(list(docs.items()))
 
 
+def test_op6_rows_of_one_id(spark):
+    """Rows of one doc_id, or without, lose nothing to each other, and each its own repeats of smaller documents."""
+    r = random.Random(6)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b, c, d = say(120), say(90), say(70), say(400)
+    docs = [(1, a), (2, b + a), (2, c + b), (2, a[20:110] + c), (3, c + "z" * 300), (4, "z" * 9000 + d), (5, "y" + "z" * 5000 + d[7:]), (None, d), (None, d), (6, None), (6, ""), (5, "y" + "z" * 5000 + d[7:])]
+    got = sorted((str(x["doc_id"]), bytes(x["data"]).decode(), x["n_spans"]) for x in suffixdedup.kept(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect())
+    want = []
+    for i, t in docs:
+        smaller = {x[k : k + 50] for j, x in docs if i is not None and j is not None and j < i for k in range(len(x or "") - 49)}
+        spans = suffixdedup.merged([(k, k + 50) for k in range(len(t or "") - 49) if t[k : k + 50] in smaller])
+        gone = {k for x, y in spans for k in range(x, y)}
+        want.append((str(i), "".join(ch for k, ch in enumerate(t or "") if k not in gone), len(spans)))
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("frequent", [24, 3])
 def test_op7(spark, sf, docs, frequent):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(common.table(spark, sf, "documents"), frequent=frequent).collect()}
