@@ -298,13 +298,50 @@ def test_op5(spark, sf, docs, ids):
         assert [a for a, _ in sorted(parts)] == list(np.cumsum([0, *(n for _, n in sorted(parts))])[:-1]) and sum(n for _, n in parts) <= 4096
 
 
-def test_packing_in_bins_of_a_class(spark):
-    parts = spark.createDataFrame([(i, 0, 1365, i, 1365) for i in range(100)] + [(200 + i, 0, 64, i, 64) for i in range(70)], packing.SCHEMA)
-    rows = packing.packed(parts).collect()
-    size = {}
+def lengths_packed(lengths, capacity=4096):
+    """Checks that bins hold every id once; the share of full bins' room that is filled, and pieces of each document."""
+    bins, tail = packing.harmonic(lengths, capacity)
+    covered = {}
+    for one in [*bins, tail]:
+        assert sum(n for _, _, n in one) <= capacity
+        for i, start, n in one:
+            covered.setdefault(i, []).append((start, n))
+    assert sorted(covered) == list(range(len(lengths)))
+    for i, parts in covered.items():
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at and n > 0
+            at += n
+        assert at == lengths[i]
+    return sum(n for one in bins for _, _, n in one) / max(1, len(bins) * capacity), [len(covered[i]) for i in range(len(lengths))]
+
+
+def test_packing_by_classes():
+    r = random.Random(4)
+    fill, pieces = lengths_packed([r.choice([r.randint(1, 400), r.randint(1, 4096), r.randint(4000, 30_000)]) for _ in range(3000)])
+    assert fill > 0.999 and sum(pieces) < 1.5 * 3000 + 3000
+    fill, pieces = lengths_packed([r.randint(1, 4096) for _ in range(3000)])
+    assert fill > 0.998 and sum(pieces) < 1.2 * 3000
+    # a class alone: as many as fit in a bin, none cut where gaps are small
+    assert lengths_packed([1365] * 99) == (4095 / 4096, [1] * 99)
+    assert lengths_packed([64] * 128) == (1.0, [1] * 128)
+    for few in ([], [1], [4096], [4097], [4095, 4095], [2, 4096 * 3]):
+        lengths_packed(few)
+
+
+@pytest.mark.parametrize("most", [1, 3000])
+def test_packing_in_rounds(spark, sf, docs, ids, most, monkeypatch):
+    """The tails of many small rounds share sequences, and sequences and offsets have no gap."""
+    monkeypatch.setattr(packing, "ROUND", most)
+    rows = packing.op5_packing(spark, sf).collect()
+    bins, pieces = {}, {}
     for r in rows:
-        size[r["sequence_id"]] = size.get(r["sequence_id"], 0) + r["length"]
-    assert len(rows) == 170 and sum(v == 4095 for v in size.values()) == 33 and max(size.values()) <= 4096
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    assert sorted(bins) == list(range(len(bins)))
+    for parts in [*bins.values(), *pieces.values()]:
+        assert [a for a, _ in sorted(parts)] == list(np.cumsum([0, *(n for _, n in sorted(parts))])[:-1])
+    assert all(sum(n for _, n in pieces[d]) == ids[d].size + 1 for d in docs) and all(sum(n for _, n in x) <= 4096 for x in bins.values())
 
 
 def in_order(t):
