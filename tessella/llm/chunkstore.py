@@ -3,12 +3,12 @@
 Format, all files written by Spark as Parquet below one folder:
 
 ``staged/kind=0/``  chunks: key (BLAKE2b-128 of the ids as little-endian uint32), n (ids), payload
-              (the ids in 2 bytes each, or 4 if the vocabulary needs it; files are zstd); each different chunk once.
+              (the ids in 2 bytes each, or 4 if the vocabulary needs it); each different chunk once, in the order of its hash.
 ``staged/kind=1/``  the documents' recipes as tasks made them, in no order.
 ``recipes/``  documents in ascending doc_id order, file by file and row by row: doc_id, start (ids of
               all documents before it), n_tokens, chunks (their hashes in order), counts (ids of
               each), root (the Merkle root of the hashes).
-``manifest/`` a row for each range of doc_ids: documents, ids, and the Merkle root of their roots.
+``manifest/`` a row for each range of doc_ids: documents, ids, and the Merkle root of their roots; reading holds the recipes against it.
 
 A document's stream is cut where the low bits of a gear hash, which rolls over the last ``BITS`` ids,
 are zero, so an edit moves only the cuts near it; chunks have ``LEAST`` to ``MOST`` ids (the last of a document
@@ -146,13 +146,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     # tasks that hold one chunk each send it: one of them is kept; documents all stay
     alike = Window.partitionBy("kind", "_deal", "key").orderBy("kind")
     once = sent.repartition(common.partitions(spark), "_deal").withColumn("_again", F.row_number().over(alike)).where("kind = 1 or _again = 1").drop("_deal", "_again")
-    once.write.partitionBy("kind").option("compression", "zstd").parquet(staged)
+    once.write.partitionBy("kind").option("compression", "snappy").parquet(staged)
     # recipes hold no ids: small, they are ordered and numbered apart
     recipes = spark.read.schema(_SCHEMA).parquet(staged).where("kind = 1").select("doc_id", F.col("key").alias("root"), F.col("n").alias("n_tokens"), "chunks", "counts")
     recipes = common.with_starts(recipes, "doc_id", "n_tokens", "start", ("root",))
     bounds = common.bounds_of(recipes, "doc_id", min(1024, common.partitions(spark)))
     recipes.withColumn("range", common.bucket_of(F.col("doc_id"), bounds)).repartitionById(len(bounds) + 1, F.col("range").cast("int")).sortWithinPartitions("doc_id", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
+    _roots(spark, path).write.parquet(f"{path}/manifest")
+
+
+def _roots(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest, made from the recipes: range, documents, ids, root."""
+
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, leaves, n = None, [], 0
         line = lambda: pa.RecordBatch.from_pydict({"range": pa.array([part], pa.int32()), "documents": [len(leaves)], "ids": [n], "root": [merkle(leaves)]})
@@ -167,7 +173,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
         if leaves:
             yield line()
 
-    spark.read.parquet(f"{path}/recipes").select("range", "root", "n_tokens", "doc_id").repartition(common.partitions(spark), "range").sortWithinPartitions("range", "doc_id", "root").select("range", "root", "n_tokens").mapInArrow(roots, "range int, documents long, ids long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    recipes = spark.read.parquet(f"{path}/recipes").select("range", "root", "n_tokens", "doc_id").repartition(common.partitions(spark), "range").sortWithinPartitions("range", "doc_id", "root")
+    return recipes.select("range", "root", "n_tokens").mapInArrow(roots, "range int, documents long, ids long, root binary")
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Raises if a recipe was changed, lost or added since the manifest was written."""
+    names = ["range", "documents", "ids", "root"]
+    said = spark.read.schema("range int, documents long, ids long, root binary").parquet(f"{path}/manifest").select(*names)
+    now = _roots(spark, path).select(*names)
+    wrong = said.withColumn("n", F.lit(1)).unionByName(now.withColumn("n", F.lit(-1))).groupBy(*names).agg(F.sum("n").alias("n")).where("n <> 0").select("range").take(1)
+    if wrong:
+        raise ValueError(f"the recipes of range {wrong[0]['range']} differ from the manifest")
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -191,8 +208,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
     Each chunk is read, decoded and checked against its address where it lies; only its CRC-32 and length
     travel to the documents that hold it, where they are joined in order (the CRC of a whole follows from its parts')
-    and checked against the Merkle root.
+    and checked against the Merkle root. The recipes themselves are held against the manifest first.
     """
+    verify(spark, path)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

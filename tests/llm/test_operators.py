@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -276,6 +277,13 @@ def test_op4(spark, sf, docs, ids, tmp_path):
     assert {r["doc_id"]: r["ids"] for r in chunkstore.documents(spark, path).collect()} == {d: [*map(int, x), 1] for d, x in ids.items()}
     keys = [bytes(r["hash"]) for r in chunkstore.chunks(spark, path).collect()]
     assert len(keys) == len(set(keys))
+    chunkstore.verify(spark, path)
+    few = spark.read.parquet(f"{path}/recipes").where("doc_id <> 6")
+    few.write.parquet(f"{path}/fewer")
+    Path(f"{path}/recipes").rename(f"{path}/whole")
+    Path(f"{path}/fewer").rename(f"{path}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        chunkstore.verify(spark, path)
 
 
 def test_damaged_chunk_is_found(spark):
