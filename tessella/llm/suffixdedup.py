@@ -12,8 +12,9 @@ Strings are judged on the input; matches do not cross documents.
 3. Consecutive strings that may repeat, with one minimizer of ``DEAL`` bytes, form a segment. Tasks send each
    different segment once, with its smallest doc_id, to the shard of that minimizer; where very many documents
    share, strings are sent one by one and dealt by their own hash, which splits the shard and merges what is equal.
-4. A shard sorts the suffixes of its segments by external induction (see ``induced``), which also gives the common prefixes of
-   neighbours: strings that share ``LENGTH`` bytes get the smallest doc_id among them. A segment alone with its minimizer needs
+4. A shard lays the segments of a group side by side at their minimizer, trims each to what it shares with any other, and merges
+   what is equal then. It sorts the suffixes of those by external induction (see ``induced``), which also gives the common prefixes of
+   neighbours: strings that share ``LENGTH`` bytes get the smallest doc_id among them. A segment left alone with its minimizer needs
    no sorting: its strings are nowhere else. So for each segment it is known what goes in its first document;
    in any later document the whole segment goes.
 5. Documents learn this by the segment's hash, and drop the union of their ranges.
@@ -50,6 +51,8 @@ MANY = 4096
 SHARD, MEMORY = 1_000_000, 1 << 22
 #: Strings of a segment at most (only periodic text has more with one minimizer), and records that a task groups before it sends them.
 RUN, HELD = 4096, 200_000
+#: Segments of a group that are trimmed; a larger group is sorted as it is.
+TRIMMED = 5000
 #: Bytes of text for each part that chunks are dealt to.
 PER_PART = 16 << 20
 
@@ -102,10 +105,11 @@ class Windows:
                 self.sums = np.r_[np.uint64(0), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: x.size], dtype=np.uint64)]
             self.least = self._minimizers(k)[self.at]
 
-    def _minimizers(self, k: int) -> np.ndarray:
+    def _minimizers(self, k: int, both: bool = False):
         with np.errstate(over="ignore"):
             h = common.mixed((self.sums[k:] - self.sums[:-k]) * self.down[: self.sums.size - k])
-        return _least(h, self.length - k + 1)
+        least = _least(h, self.length - k + 1)
+        return (least, h) if both else least
 
     def _hashes(self, at: np.ndarray, k: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -125,8 +129,8 @@ class Windows:
         h, d = h[order], d[order]
         return h[np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]]
 
-    def segments(self, shared: common.BitFilter, many: common.BitFilter) -> Iterator[tuple[int, int, int, int]]:
-        """(text, start, end, group) of maximal runs of strings that may repeat; single strings where many documents share."""
+    def segments(self, shared: common.BitFilter, many: common.BitFilter) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, start, end, group, place of the minimizer) of maximal runs of strings that may repeat; single strings where many documents share."""
         if not self.at.size:
             return
         firsts = self._runs()
@@ -137,7 +141,8 @@ class Windows:
         often = np.repeat(there & many.has(self.least[firsts]), n)
         one = np.flatnonzero(np.repeat(there, n))
         often, p, d = often[one], self.at[one], self.doc[one]
-        group = self._minimizers(DEAL)[p]
+        least, h = self._minimizers(DEAL, True)
+        group = least[p]
         group[often] = self._hashes(p[often], self.length)
         new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1] + 1) | (d[1:] != d[:-1]) | (group[1:] != group[:-1]) | often[1:] | often[:-1]])
         n = np.diff(np.r_[new, one.size])
@@ -146,7 +151,10 @@ class Windows:
             new = np.repeat(new, parts) + RUN * (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts))
         last = np.r_[new[1:], one.size] - 1
         start = self.begin[d[new]]
-        yield from zip(d[new].tolist(), (p[new] - start).tolist(), (p[last] - start + self.length).tolist(), group[new].view(np.int64).tolist(), strict=True)
+        place = np.zeros(new.size, dtype=np.int64)
+        for j in range(self.length - DEAL, -1, -1):  # the first of equal ones
+            place[h[p[new] + j] == group[new]] = j
+        yield from zip(d[new].tolist(), (p[new] - start).tolist(), (p[last] - start + self.length).tolist(), group[new].view(np.int64).tolist(), place.tolist(), strict=True)
 
 
 def _data(text: str | None) -> bytes:
@@ -251,45 +259,46 @@ SEGMENT, OCCURRENCE, REPEAT = range(3)
 def _segments(rows: DataFrame, shared, many) -> DataFrame:
     """Different segments with the smallest doc_id of those that a task holds; the places where segments are in those documents;
     the places of others, which are repeats."""
-    names = ["kind", "key", "group", "segment", "doc", "row", "at", "n"]
-    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["kind", "key", "group", "segment", "doc", "at", "row", "n"]  # ``at`` of a segment: where its minimizer is
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
     most = HELD
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, int] = {}
-        new: dict[bytes, tuple[int, bytes]] = {}
+        new: dict[bytes, tuple[int, bytes, int]] = {}
         places: list[tuple[bytes, int, int, int, int]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if new:
                 keys = list(new)
-                cols = [np.full(len(keys), SEGMENT), keys, [g for g, _ in new.values()], [s for _, s in new.values()], [first[k] for k in keys]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=False)), *(pa.nulls(len(keys), t) for t in kinds[5:])], names)
+                group, segment, place = zip(*new.values(), strict=True)
+                cols = [np.full(len(keys), SEGMENT), keys, group, segment, [first[k] for k in keys], place]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=False)), *(pa.nulls(len(keys), t) for t in kinds[6:])], names)
             if places:
-                key, doc, row, at, n = zip(*places, strict=True)
+                key, doc, at, row, n = zip(*places, strict=True)
                 kind = [OCCURRENCE if first[k] == d else REPEAT for k, d in zip(key, doc, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(kind, kinds[0]), pa.array(key, kinds[1]), pa.nulls(len(key), kinds[2]), pa.nulls(len(key), kinds[3]), *(pa.array(c, t) for c, t in zip((doc, row, at, n), kinds[4:], strict=True))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(kind, kinds[0]), pa.array(key, kinds[1]), pa.nulls(len(key), kinds[2]), pa.nulls(len(key), kinds[3]), *(pa.array(c, t) for c, t in zip((doc, at, row, n), kinds[4:], strict=True))], names)
             for x in (first, new, places):
                 x.clear()
 
         for rows, docs, texts, gone in _read(batches):
-            for d, a, b, group in Windows(texts, gone).segments(shared.value, many.value):
+            for d, a, b, group, place in Windows(texts, gone).segments(shared.value, many.value):
                 s = texts[d][a:b]
                 key, doc = xxhash.xxh3_128_digest(s), docs[d]
                 if key not in first:
                     first[key] = doc
-                    new[key] = (group, s)
+                    new[key] = (group, s, place)
                     size += b - a + 200
                 elif doc < first[key]:
                     first[key] = doc
-                places.append((key, doc, rows[d], a, b - a))
+                places.append((key, doc, a, rows[d], b - a))
             if size > 24 << 20 or len(places) > most:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    return rows.mapInArrow(emit, "kind int, key binary, group long, segment binary, doc long, row long, at int, n int")
+    return rows.mapInArrow(emit, "kind int, key binary, group long, segment binary, doc long, at int, row long, n int")
 
 
 class Shard:
@@ -297,14 +306,12 @@ class Shard:
 
     def __init__(self, folder: Path, most: int):
         self.path, self.most = folder / "segments", most
-        self.keys: list[bytes] = []
         self.docs: list[int] = []
         self.sizes: list[int] = []
         self.held: list[bytes] = []
         self.size = self.written = 0
 
-    def add(self, key: bytes, segment: bytes, doc: int) -> None:
-        self.keys.append(key)
+    def add(self, segment: bytes, doc: int) -> None:
         self.docs.append(doc)
         self.sizes.append(len(segment))
         self.held.append(segment)
@@ -375,21 +382,91 @@ def repeats(shard: Shard, folder: Path, length: int = LENGTH, memory: int = MEMO
 _RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
+def _alike(a: bytes, b: bytes) -> int:
+    """The length of the common prefix."""
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (x.bit_length() + 7) // 8
+
+
+def _reach(parts: list[bytes]) -> list[int]:
+    """For each the longest common prefix with another one."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out, last = [0] * len(parts), 0
+    for i, j in zip(order, order[1:], strict=False):
+        n = _alike(parts[i], parts[j])
+        out[i], last = max(last, n), n
+    out[order[-1]] = last
+    return out
+
+
+def trimmed(segments: list[tuple[bytes, int]], length: int = LENGTH, k: int = DEAL) -> list[tuple[int, int]]:
+    """The range of each segment (text, place of the minimizer) outside which it has no string of ``length`` in common with another.
+
+    All strings of a segment contain the minimizer, so two that are equal lie alike around it: if each segment has it once.
+    """
+    s, p = segments[0]
+    word = s[p : p + k]
+    if any(t[q : q + k] != word or t.find(word, q + 1) >= 0 for t, q in segments):
+        return [(0, len(t)) for t, _ in segments]
+    right = _reach([t[q + k :] for t, q in segments])
+    left = _reach([t[:q][::-1] for t, q in segments])
+    return [(q - x, q + k + y) if x + k + y >= length else (0, 0) for (_, q), x, y in zip(segments, left, right, strict=True)]
+
+
+_RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def _sorted_shards(segments: DataFrame) -> DataFrame:
     """(key, first, ranges) of every different segment: its smallest doc_id and what goes there."""
-    most, memory = SHARD, MEMORY
+    most, memory, few = SHARD, MEMORY, TRIMMED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone: list[tuple[bytes, int]] = []  # segments that are all of their group
-        group, one = None, None  # the group and its first segment, while it has no other
+        known: list[tuple[bytes, int, list]] = []  # segments that need no sorting
+        users: list[tuple[int, bytes, int, int]] = []  # of the shard's texts: (text, key, doc, where the text begins in the segment)
 
-        def told(keys: list[bytes], docs: list[int], found: list) -> pa.RecordBatch:
+        def told(rows: list[tuple[bytes, int, list]]) -> pa.RecordBatch:
+            keys, docs, found = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in r] for r in found], _RANGES)], ["key", "first", "ranges"])
 
-        def rows() -> Iterator[tuple[int, bytes, bytes, int]]:
+        def rows() -> Iterator[tuple[int, bytes, bytes, int, int]]:
             for b in batches:
-                for g, k, s, d in zip(*b.columns, strict=True):
-                    yield g.as_py(), k.as_py(), s.as_py(), d.as_py()
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+        def close(group: list[list], whole: bool) -> None:
+            """Deals with the different segments [key, text, doc, place] of a group, or some of a large one."""
+            if len(group) < 2 and not whole:
+                known.extend((k, d, []) for k, _, d, _ in group)
+                return
+            parts = [(0, len(t)) for _, t, _, _ in group] if whole else trimmed([(t, q) for _, t, _, q in group])
+            texts: dict[bytes, int] = {}
+            for (_, t, d, _), (a, b) in zip(group, parts, strict=True):
+                if b > a:
+                    texts[t[a:b]] = min(d, texts.get(t[a:b], d))
+            sort = whole or len(texts) > 1
+            at = {}
+            if sort:
+                for t, d in texts.items():
+                    at[t] = len(shard.docs)
+                    shard.add(t, d)
+            for (k, t, d, _), (a, b) in zip(group, parts, strict=True):
+                if a == b:
+                    known.append((k, d, []))
+                elif d > texts[t[a:b]]:
+                    known.append((k, d, [(a, b)]))
+                elif sort:
+                    users.append((at[t[a:b]], k, d, a))
+                else:
+                    known.append((k, d, []))
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if users:
+                found = repeats(shard, folder, memory=memory)
+                yield told([(k, d, [(x + a, y + a) for x, y in found[i]]) for i, k, d, a in users])
+                users.clear()
+            if known:
+                yield told(known)
+                known.clear()
 
         with tempfile.TemporaryDirectory(prefix="repeats-") as top:
             number = 0
@@ -402,36 +479,28 @@ def _sorted_shards(segments: DataFrame) -> DataFrame:
                 return folder, Shard(folder, memory)
 
             folder, shard = fresh()
-            for g, k, s, d in rows():
+            group, held, large = None, [], False
+            for k, g, s, d, q in rows():
                 if g != group:
-                    if one is not None:
-                        alone.append((one[0], one[2]))
-                    group, one = g, (k, s, d)
+                    close(held, large)
+                    group, held, large = g, [], False
                     if shard.size > most:
-                        yield told(shard.keys, shard.docs, repeats(shard, folder, memory=memory))
+                        yield from done()
                         folder, shard = fresh()
-                    if len(alone) > 20_000:
-                        yield told([x for x, _ in alone], [x for _, x in alone], [[]] * len(alone))
-                        alone.clear()
-                elif one is not None:
-                    if k == one[0]:
-                        one = (k, s, min(d, one[2]))
-                    else:
-                        shard.add(*one)
-                        shard.add(k, s, d)
-                        one = None
-                elif k == shard.keys[-1]:
-                    shard.docs[-1] = min(d, shard.docs[-1])
-                else:
-                    shard.add(k, s, d)
-            if one is not None:
-                alone.append((one[0], one[2]))
-            if shard.size:
-                yield told(shard.keys, shard.docs, repeats(shard, folder, memory=memory))
-            if alone:
-                yield told([x for x, _ in alone], [x for _, x in alone], [[]] * len(alone))
-
-    rows = segments.select("group", "key", "segment", "doc").repartition(common.partitions(segments.sparkSession), "group").sortWithinPartitions("group", "key")
+                    elif len(known) > 20_000:
+                        yield told(known)
+                        known.clear()
+                if held and k == held[-1][0]:
+                    held[-1][2] = min(d, held[-1][2])
+                    continue
+                if len(held) >= few:
+                    close(held, True)
+                    held, large = [], True
+                held.append([k, s, d, q])
+            close(held, large)
+            yield from done()
+
+    rows = segments.select("key", "group", "segment", "doc", "at").repartition(common.partitions(segments.sparkSession), "group").sortWithinPartitions("group", "key")
     return rows.mapInArrow(run, "key binary, first long, ranges array<struct<a: long, b: long>>")
 
 

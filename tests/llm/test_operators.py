@@ -425,14 +425,33 @@ def test_queue_far_larger_than_its_memory(tmp_path):
         assert data[a : a + k] == data[b : b + k] and data[a + k : a + k + 1] < data[b + k : b + k + 1]
 
 
-@pytest.mark.parametrize(("many", "memory"), [(4096, 1 << 22), (3, 1 << 22), (4096, 500)])
-def test_op6(spark, sf, docs, many, memory, monkeypatch):
+@pytest.mark.parametrize(("many", "memory", "few"), [(4096, 1 << 22, 5000), (3, 1 << 22, 5000), (4096, 500, 5000), (4096, 1 << 22, 2)])
+def test_op6(spark, sf, docs, many, memory, few, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "TRIMMED", few)
     monkeypatch.setattr(suffixdedup, "MANY", many)
     monkeypatch.setattr(suffixdedup, "MEMORY", memory)
     monkeypatch.setattr(suffixdedup, "HELD", 20 if memory == 500 else 200_000)
     assert {r["doc_id"]: tuple(r)[1:] for r in suffixdedup.op6_suffix_dedup(spark, sf).collect()} == suffixdedup.brute(list(docs.items()))
 
 
+def test_trimmed_segments_keep_all_that_is_shared():
+    r = random.Random(9)
+    for _ in range(300):
+        word = "".join(r.choice("abcdefghijklmnop") for _ in range(16)).encode()
+        around = ["".join(r.choice("xyz") for _ in range(70)).encode() for _ in range(4)]
+        segments = []
+        for _ in range(r.randint(2, 7)):
+            left, right = r.choice(around)[: r.randint(0, 70)][::-1], r.choice(around)[: r.randint(0, 70)]
+            segments.append((left + word + right + (word if r.random() < 0.05 else b""), len(left)))
+        counts = {}
+        for i, (t, q) in enumerate(segments):
+            for j in range(max(0, q - 34), min(q, len(t) - 50) + 1):
+                counts.setdefault(t[j : j + 50], set()).add(i)
+        for i, ((t, q), (a, b)) in enumerate(zip(segments, suffixdedup.trimmed(segments), strict=True)):
+            shared = [j for j in range(max(0, q - 34), min(q, len(t) - 50) + 1) if len(counts[t[j : j + 50]] - {i})]
+            assert all(a <= j and j + 50 <= b for j in shared)
+
+
 def test_op6_rows_of_one_id(spark):
     """Rows of one doc_id, or without, lose nothing to each other, and each its own repeats of smaller documents."""
     r = random.Random(6)
