@@ -100,6 +100,14 @@ def time_of_day(c: Column, unit: str) -> Column:
     return micros if unit == "micros" else micros * 1000
 
 
+def offset(c: Column) -> Column:
+    """The offset from UTC that ISO 8601 text ends with, as +HH:MM; null without one."""
+    found = F.regexp_extract(c, "(Z|[+-][0-9]{2}(?::?[0-9]{2})?)$", 1)
+    parts = F.regexp_extract(found, "^([+-][0-9]{2}):?([0-9]{2})?$", 1), F.regexp_extract(found, "^([+-][0-9]{2}):?([0-9]{2})?$", 2)
+    there = c.rlike("[T ][0-9:.]+(Z|[+-][0-9]{2}(:?[0-9]{2})?)$")
+    return F.when(there & (found == "Z"), F.lit("+00:00")).when(there, F.concat(parts[0], F.lit(":"), F.rpad(parts[1], 2, "0")))
+
+
 def timestamp(c: Column, unit: str = "micros", zoned: bool = True) -> Column:
     """A timestamp, or ISO 8601 text with any offset, in UTC; digits under ``unit`` are cut off. ``nanos``: a long."""
     ts = c.cast("timestamp")
@@ -109,27 +117,53 @@ def timestamp(c: Column, unit: str = "micros", zoned: bool = True) -> Column:
     return cut if zoned else cut.cast("timestamp_ntz")
 
 
-def to_type(c: Column, kind: T.DataType, meta: dict | None = None) -> Column:
-    """A value in a field's type; lists, maps and structs by their parts. Missing struct fields are null, unknown ones go."""
-    said, format = (meta or {}).get("kind"), (meta or {}).get("format")
+def to_type(c: Column, kind: T.DataType, meta: dict | None = None, given: T.DataType | None = None) -> Column:
+    """A value in a field's type; lists, maps and structs by their parts. Missing struct fields are null, unknown ones go.
+
+    ``given`` is the value's own type, which tells text from dates, and which struct fields there are.
+    """
+    meta = meta or {}
+    said, format = meta.get("kind"), meta.get("format")
+    stamp = isinstance(given, (T.TimestampType, T.TimestampNTZType))
     if said in UNSIGNED:
         return unsigned(c, said)
     if said == "uuid":
         return F.regexp_replace(F.lower(F.hex(uuid_bytes(c))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     if said and said.startswith("fixed:"):
         return fixed(c, int(said[6:]))
+    if said and said.startswith("time_") and stamp:
+        return time_of_day(c, said[5:])
+    if said == "timestamp_nanos" and (stamp or isinstance(given, T.StringType)):
+        return timestamp(c, "nanos")
     if isinstance(kind, T.DecimalType):
         return decimal(c, kind.precision, kind.scale)
     if isinstance(kind, T.StringType):
         return text(c)
-    if isinstance(kind, T.DateType) and format:
-        return date(c, format)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return floating(c, kind.simpleString())
+    if isinstance(kind, T.DateType) and (format or isinstance(given, T.StringType)):
+        return _dated(c, format)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return timestamp(c, said or "micros", isinstance(kind, T.TimestampType))
     if isinstance(kind, T.ArrayType):
-        return F.transform(c, lambda x: to_type(x, kind.elementType))
+        item = given.elementType if isinstance(given, T.ArrayType) else None
+        return F.transform(c, lambda x: to_type(x, kind.elementType, meta.get("item"), item))
     if isinstance(kind, T.MapType):
-        return F.transform_values(F.transform_keys(c, lambda k, v: to_type(k, kind.keyType)), lambda k, v: to_type(v, kind.valueType))
+        key, value = (given.keyType, given.valueType) if isinstance(given, T.MapType) else (None, None)
+        return F.transform_values(F.transform_keys(c, lambda k, v: to_type(k, kind.keyType, meta.get("key"), key)), lambda k, v: to_type(v, kind.valueType, meta.get("value"), value))
     if isinstance(kind, T.StructType):
-        return F.when(c.isNotNull(), F.struct(*[to_type(c[f.name], f.dataType, f.metadata).alias(f.name) for f in kind]))
+        def field(f: T.StructField) -> Column:
+            if isinstance(given, T.MapType):
+                return to_type(F.try_element_at(c, F.lit(f.name)), f.dataType, f.metadata, given.valueType)
+            if isinstance(given, T.StructType) and f.name not in given.names:
+                return F.lit(None).cast(f.dataType)
+            return to_type(c.getField(f.name), f.dataType, f.metadata, given[f.name].dataType if isinstance(given, T.StructType) else None)
+
+        return F.when(c.isNotNull(), F.struct(*[field(f).alias(f.name) for f in kind]))
     return c.cast(kind)
+
+
+def _dated(c: Column, format: str | None) -> Column:
+    """A date by a pattern or a common shape; text that is neither raises."""
+    day = date(c, format)
+    return F.when(c.isNull() | day.isNotNull(), day).otherwise(F.raise_error(F.concat(F.lit("not a date: "), c.cast("string"))).cast("date"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import uuid
+from decimal import Decimal
+from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +17,8 @@ from pyspark.sql import types as T
 from ..errors import SourceError, TessellaError
 from ..functions import coerce, decode
 from ..operators import batching, validate
-from ..sources import footer, scan, sink
+from ..sources import annotated, footer, scan, sink
+from . import registry
 from . import schema as schemas
 from .registry import query
 
@@ -23,7 +29,11 @@ def _path(d: str, name: str) -> str:
 
 def _shared(spark: SparkSession) -> str:
     """A new path in the folder all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SourceError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tessella-")
     return f"{root.rstrip('/')}/tessella/{uuid.uuid4().hex}"
 
 
@@ -47,12 +57,12 @@ FROM (SELECT *, CAST((row_number() OVER () - 1) // 1000 AS BIGINT) AS batch_id F
 def s2_scan_batches(spark: SparkSession, d: str) -> DataFrame:
     rows = scan.numbered(scan.read_rows(spark, _path(d, "lineitem")))
     batch = F.floor(F.col("row_index") / 1000).cast("long").alias("batch_id")
-    return rows.groupBy(batch).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("quantity"))
+    return rows.groupBy("file", batch).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("quantity")).drop("file")
 
 
 @query("""
-SELECT batch_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY at) AS ids, string_agg(event_type, ',' ORDER BY at) AS kinds
-FROM (SELECT *, row_number() OVER () - 1 AS at, CAST((row_number() OVER () - 1) // 500 AS BIGINT) AS batch_id FROM events) GROUP BY batch_id""")
+SELECT batch_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY place) AS ids, string_agg(event_type, ',' ORDER BY place) AS kinds
+FROM (SELECT *, row_number() OVER () - 1 AS place, CAST((row_number() OVER () - 1) // 500 AS BIGINT) AS batch_id FROM events) GROUP BY batch_id""")
 def s2_column_batches(spark: SparkSession, d: str) -> DataFrame:
     got = scan.batched(spark, _path(d, "events"), 500, ["event_id", "event_type"])
     return got.select("batch_id", F.array_join(got["event_id"].cast("array<string>"), ",").alias("ids"), F.array_join("event_type", ",").alias("kinds"))
@@ -104,6 +114,27 @@ def s9_stream_source(spark: SparkSession, d: str) -> DataFrame:
     return scan.read_rows(spark, scan.spooled(spark, bytes(one), _shared(spark)))
 
 
+class _Pipe(io.RawIOBase):
+    """A source that only reads on: it cannot seek."""
+
+    def __init__(self, data: bytes):
+        self.held = io.BytesIO(data)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        return self.held.readinto(buffer)
+
+
+@query("SELECT * FROM region UNION ALL SELECT * FROM region")
+def s10_pipe_source(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that seeks, and one that does not."""
+    one = bytes(spark.read.format("binaryFile").load(_path(d, "region")).first()["content"])
+    read = lambda source: scan.read_rows(spark, scan.spooled(spark, source, _shared(spark)))
+    return read(io.BytesIO(one)).unionByName(read(_Pipe(one)))
+
+
 @query("SELECT r.n_regionkey, count(*) AS n FROM nation r GROUP BY r.n_regionkey")
 def s12_lazy_rows(spark: SparkSession, d: str) -> DataFrame:
     return scan.read_rows(spark, _path(d, "nation"), ["n_regionkey"]).groupBy("n_regionkey").agg(F.count("*").alias("n"))
@@ -204,19 +235,91 @@ def d4_float_lists(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.posexplode("embedding").alias("i", "f")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), decode.shortest(F.col("f")).alias("x"))
 
 
-# a fixed table of half-precision bit patterns and their values
-_HALVES = [("0000", 0.0), ("003C", 1.0), ("00C0", -2.0), ("FF7B", 65504.0), ("0100", 5.960464477539063e-08), ("0004", 6.103515625e-05), ("5535", 0.333251953125)]
+def _stored_types(spark: SparkSession, d: str, **options: Any) -> str:
+    """A file by another writer with columns of every annotated type, made from the 25 nations."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    keys = sorted(r[0] for r in scan.read_rows(spark, _path(d, "nation"), ["n_nationkey"]).collect())
+    ids = pa.array([hashlib.md5(str(k).encode()).digest() for k in keys], pa.binary(16))
+    uuids = pa.ExtensionArray.from_storage(pa.uuid(), ids)
+    each = lambda f, kind: pa.array([f(k) for k in keys], kind)
+    table = pa.table(
+        {
+            "k": pa.array(keys, pa.int64()),
+            "half": pa.array([np.float16(k / 4 - 2) for k in keys], pa.float16()),
+            "id": uuids,
+            "ms": each(lambda k: k * 3_421_001, pa.time32("ms")),
+            "us": each(lambda k: k * 3_421_000_001, pa.time64("us")),
+            "ns": each(lambda k: k * 3_421_000_000_001, pa.time64("ns")),
+            "stamp": each(lambda k: k * 86_400_000_001_003, pa.timestamp("ns")),
+            "wide": each(lambda k: Decimal(f"{'-' if k % 2 else ''}{k}{'0' * 40}.25"), pa.decimal256(60, 2)),
+            "u8": each(lambda k: 255 - k, pa.uint8()),
+            "u16": each(lambda k: 65_535 - k, pa.uint16()),
+            "u32": each(lambda k: 2**32 - 1 - k, pa.uint32()),
+            "u64": each(lambda k: 2**64 - 1 - k, pa.uint64()),
+            "bytes": each(lambda k: bytes([k, 255 - k]) if k % 5 else None, pa.binary()),
+            "fixed": each(lambda k: bytes([k] * 3), pa.binary(3)),
+            "day": each(lambda k: k * 100, pa.date32()),
+            "moment": each(lambda k: k * 86_400_000, pa.date64()),
+            "ids": pa.ListArray.from_arrays(pa.array(range(len(keys) + 1), pa.int32()), uuids),
+        }
+    )
+    held = io.BytesIO()
+    pq.write_table(table, held, version="2.6", **options)
+    return scan.spooled(spark, held.getvalue(), _shared(spark))
+
+
+def _clock(per: int, digits: int) -> str:
+    """SQL for the time of day of the file above, which has ``per`` units a second."""
+    v = f"(n_nationkey::HUGEINT * {3_421 * per + 1})"
+    pad = lambda x, n: f"lpad(CAST({x} AS VARCHAR), {n}, '0')"
+    return f"{pad(f'{v} // {3600 * per}', 2)} || ':' || {pad(f'{v} // {60 * per} % 60', 2)} || ':' || {pad(f'{v} // {per} % 60', 2)} || '.' || {pad(f'{v} % {per}', digits)}"
+
+
+_UUID_SQL = "regexp_replace(md5(CAST(n_nationkey AS VARCHAR)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(255 - n_nationkey AS SMALLINT) AS u8, CAST(65535 - n_nationkey AS INTEGER) AS u16, CAST(4294967295 - n_nationkey AS BIGINT) AS u32, CAST(18446744073709551615 - n_nationkey::HUGEINT AS VARCHAR) AS u64 FROM nation")
+def d2_unsigned(spark: SparkSession, d: str) -> DataFrame:
+    return annotated.read_annotated(spark, _stored_types(spark, d), ["k", "u8", "u16", "u32", "u64"]).withColumn("u64", F.col("u64").cast("string"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey / 4.0 - 2 AS DOUBLE) AS half FROM nation")
+def d3_half_floats(spark: SparkSession, d: str) -> DataFrame:
+    return annotated.read_annotated(spark, _stored_types(spark, d), ["k", "half"])
+
 
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey % 5 <> 0 THEN upper(printf('%02x%02x', n_nationkey, 255 - n_nationkey)) END AS bytes FROM nation")
+def d7_binary(spark: SparkSession, d: str) -> DataFrame:
+    return annotated.read_annotated(spark, _stored_types(spark, d), ["k", "bytes"]).withColumn("bytes", F.hex("bytes"))
 
-@query(f"SELECT hex, CAST(x AS DOUBLE) AS x FROM ({_values(_HALVES, 'hex, x')})")
-def d3_half_floats(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(h,) for h, _ in _HALVES], "hex string").select("hex", decode.half_float(F.unhex("hex")).alias("x"))
 
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, upper(repeat(printf('%02x', n_nationkey), 3)) AS fixed FROM nation")
+def d8_fixed_binary(spark: SparkSession, d: str) -> DataFrame:
+    return annotated.read_annotated(spark, _stored_types(spark, d), ["k", "fixed"]).withColumn("fixed", F.hex("fixed"))
 
-@query("SELECT o_orderkey, regexp_replace(md5(CAST(o_orderkey AS VARCHAR)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS id FROM orders")
+
+@query(f"SELECT CAST(n_nationkey AS BIGINT) AS k, {_UUID_SQL} AS id, {_UUID_SQL} AS item FROM nation")
 def d9_uuid(spark: SparkSession, d: str) -> DataFrame:
-    o = scan.read_rows(spark, _path(d, "orders"), ["o_orderkey"])
-    return o.select("o_orderkey", decode.uuid_text(F.unhex(F.md5(F.col("o_orderkey").cast("string")))).alias("id"))
+    """A column of UUIDs, and lists of them."""
+    return annotated.read_annotated(spark, _stored_types(spark, d), ["k", "id", "ids"]).select("k", "id", F.col("ids")[0].alias("item"))
+
+
+@query(f"SELECT CAST(n_nationkey AS BIGINT) AS k, {_UUID_SQL} AS id FROM nation")
+def s16_logical_types(spark: SparkSession, d: str) -> DataFrame:
+    """Without the writer's own schema in the footer the logical type alone says UUID."""
+    return annotated.read_annotated(spark, _stored_types(spark, d, store_schema=False), ["k", "id"])
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(DATE '1970-01-01' + n_nationkey * 100 AS VARCHAR) AS day FROM nation")
+def d10_dates(spark: SparkSession, d: str) -> DataFrame:
+    return annotated.read_annotated(spark, _stored_types(spark, d), ["k", "day"]).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(DATE '1970-01-01' + n_nationkey AS VARCHAR) AS moment FROM nation")
+def d11_date64(spark: SparkSession, d: str) -> DataFrame:
+    return annotated.read_annotated(spark, _stored_types(spark, d), ["k", "moment"]).withColumn("moment", F.col("moment").cast("string"))
 
 
 @query("SELECT event_id, epoch_us(ts) AS micros, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events")
@@ -225,25 +328,39 @@ def d12_timestamps(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.to_date("ts").cast("string").alias("day"))
 
 
-@query("SELECT event_id, epoch_us(ts) AS micros, CAST((event_id * 37) % 1000 AS INTEGER) AS nanos FROM events")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey * 86400000001003 // 1000 AS BIGINT) AS micros, CAST(n_nationkey * 86400000001003 % 1000 AS INTEGER) AS nanos FROM nation")
 def d13_nanos(spark: SparkSession, d: str) -> DataFrame:
-    e = scan.read_rows(spark, _path(d, "events"), ["event_id", "ts"])
-    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.pmod(F.col("event_id") * 37, F.lit(1000))
-    return e.select("event_id", decode.nanos_timestamp(ns).alias("t")).select("event_id", F.unix_micros("t.ts").alias("micros"), "t.nanos")
+    return annotated.read_annotated(spark, _stored_types(spark, d), ["k", "stamp"]).select("k", F.unix_micros("stamp.ts").alias("micros"), "stamp.nanos")
 
 
-@query("SELECT event_id, strftime(ts, '%H:%M:%S.%f') AS micros, strftime(ts, '%H:%M:%S.%g') AS millis, strftime(ts, '%H:%M:%S.%f') || '000' AS nanos FROM events")
+@query(f"SELECT CAST(n_nationkey AS BIGINT) AS k, {_clock(1000, 3)} AS ms, {_clock(10**6, 6)} AS us, {_clock(10**9, 9)} AS ns FROM nation")
 def d14_time_of_day(spark: SparkSession, d: str) -> DataFrame:
-    e = scan.read_rows(spark, _path(d, "events"), ["event_id", "ts"])
-    return e.select("event_id", *[decode.time_text(coerce.time_of_day(F.col("ts"), u), u).alias(u) for u in ("micros", "millis", "nanos")])
+    return annotated.read_annotated(spark, _stored_types(spark, d), ["k", "ms", "us", "ns"])
+
 
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey % 2 = 1 THEN '-' ELSE '' END || CASE WHEN n_nationkey = 0 THEN '0' ELSE n_nationkey || repeat('0', 40) END || '.25' AS wide FROM nation")
+def d16_wide_decimals(spark: SparkSession, d: str) -> DataFrame:
+    return annotated.read_annotated(spark, _stored_types(spark, d), ["k", "wide"])
 
-_WIDE = [("018EE90FF6C373E0EE4E3F0AD2", "1234567890123456789012345678.90"), ("FF", "-0.01"), ("00", "0.00"), ("FFFFFF85", "-1.23"), ("7F" + "FF" * 31, "578960446186580977117854925043439539266349923328202820197287920039565648199.67")]
 
+_UNSUPPORTED = [("a duration", "SourceError"), ("a number", "ok")]
 
-@query(_values(_WIDE, "hex, x"))
-def d16_wide_decimals(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(h,) for h, _ in _WIDE], "hex string").select("hex", decode.big_decimal_text(F.unhex("hex"), 2).alias("x"))
+
+@query(_values(_UNSUPPORTED, "input, outcome"))
+def d21_unsupported(spark: SparkSession, d: str) -> DataFrame:
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def said(kind: pa.DataType) -> str:
+        held = io.BytesIO()
+        pq.write_table(pa.table({"x": pa.array([1], kind)}), held)
+        try:
+            annotated.read_annotated(spark, scan.spooled(spark, held.getvalue(), _shared(spark))).collect()
+        except TessellaError as e:
+            return type(e).__name__
+        return "ok"
+
+    return spark.createDataFrame([("a duration", said(pa.duration("s"))), ("a number", said(pa.int64()))], "input string, outcome string")
 
 
 @query("SELECT n_nationkey, 'k' || n_regionkey AS key, n_name AS value, CAST(n_regionkey AS INTEGER) AS inner_id FROM nation")
@@ -312,12 +429,12 @@ def c12_timestamps(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", *[F.unix_micros(coerce.timestamp(ts, u)).alias(a) for u, a in (("second", "s"), ("millis", "ms"), ("micros", "us"))], coerce.timestamp(ts, "nanos").alias("ns"))
 
 
-@query("SELECT event_id, epoch_us(ts) - CASE event_id % 3 WHEN 0 THEN 32400000000 WHEN 1 THEN -18000000000 ELSE 0 END AS us FROM events")
+@query("SELECT event_id, epoch_us(ts) - CASE event_id % 3 WHEN 0 THEN 32400000000 WHEN 1 THEN -18000000000 ELSE 0 END AS us, CASE event_id % 3 WHEN 0 THEN '+09:00' WHEN 1 THEN '-05:00' ELSE '+00:00' END AS zone FROM events")
 def c13_iso_text(spark: SparkSession, d: str) -> DataFrame:
     """ISO 8601 with offsets, in UTC."""
     e, at = scan.read_rows(spark, _path(d, "events"), ["event_id", "ts"]), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     zone = F.when(F.col("event_id") % 3 == 0, "+09:00").when(F.col("event_id") % 3 == 1, "-05:00").otherwise("Z")
-    return e.select("event_id", F.unix_micros(coerce.timestamp(F.concat(at, zone))).alias("us"))
+    return e.select("event_id", F.unix_micros(coerce.timestamp(F.concat(at, zone))).alias("us"), coerce.offset(F.concat(at, zone)).alias("zone"))
 
 
 @query("SELECT o_orderkey, CAST(CAST(trunc(CAST(-o_totalprice AS DECIMAL(18,2)) * 10) / 10 AS DECIMAL(18,1)) AS VARCHAR) AS one, CAST(CAST(trunc(CAST(-o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,0)) AS VARCHAR) AS none FROM orders")
@@ -327,14 +444,31 @@ def c16_decimals(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", coerce.decimal(s, 18, 1).cast("string").alias("one"), coerce.decimal(s, 18, 0).cast("string").alias("none"))
 
 
-@query("SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS item, upper(substr(n_name, 1, 1)) AS key, n_name AS street, NULL::VARCHAR AS zip FROM nation")
+@query("SELECT c_custkey, CAST(CAST(c_acctbal AS VARCHAR) AS FLOAT)::DOUBLE AS f32, c_acctbal AS f64 FROM customer")
+def c4_floats(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit(" "), F.col("c_acctbal").cast("string"))
+    return scan.read_rows(spark, _path(d, "customer")).select("c_custkey", coerce.floating(text, "float").cast("double").alias("f32"), coerce.floating(text).alias("f64"))
+
+
+@query("SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS item, CAST(n_nationkey AS SMALLINT) AS small, upper(substr(n_name, 1, 1)) AS key, n_name AS street, NULL::VARCHAR AS zip, n_name AS from_map FROM nation")
 def c20_nested(spark: SparkSession, d: str) -> DataFrame:
-    """Lists, maps and structs by their parts; a missing struct field is null."""
+    """Lists, maps and structs by their parts, which keep their kinds; a missing struct field is null, an unknown one goes."""
     n = scan.read_rows(spark, _path(d, "nation"))
-    raw = n.select("n_nationkey", F.array(F.col("n_regionkey").cast("string")).alias("l"), F.create_map(F.upper(F.substring("n_name", 1, 1)), F.lit("1")).alias("m"), F.to_json(F.struct(F.col("n_name").alias("street"), F.lit("x").alias("extra"))).alias("j"))
-    want = schemas.define(lambda b: b.field("l", "list<int64>").field("m", "map<string,int32>"))
-    out = raw.select("n_nationkey", *[coerce.to_type(F.col(f.name), f.dataType, f.metadata).alias(f.name) for f in want], F.from_json("j", "street string, zip string").alias("s"))
-    return out.select("n_nationkey", F.col("l")[0].alias("item"), F.map_keys("m")[0].alias("key"), "s.street", "s.zip")
+    named = F.struct(F.col("n_name").alias("street"), F.lit("x").alias("extra"))
+    raw = n.select("n_nationkey", F.array(F.col("n_regionkey").cast("string")).alias("l"), F.array(F.col("n_nationkey").cast("string")).alias("u"), F.create_map(F.upper(F.substring("n_name", 1, 1)), F.lit("1")).alias("m"), named.alias("s"), F.create_map(F.lit("street"), "n_name").alias("h"))
+    place = {"fields": [{"name": "street", "type": "string"}, {"name": "zip", "type": "string"}]}
+    want = schemas.define(lambda b: b.field("n_nationkey", "int32").field("l", "list<int64>").field("u", "list", item={"type": "uint8"}).field("m", "map<string,int32>").field("s", "struct", **place).field("h", "struct", **place))
+    out = sink.conformed(raw, want)
+    return out.select("n_nationkey", F.col("l")[0].alias("item"), F.col("u")[0].alias("small"), F.map_keys("m")[0].alias("key"), "s.street", "s.zip", F.col("h.street").alias("from_map"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
+def c10_free_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates written from text without a pattern."""
+    o, path = scan.read_rows(spark, _path(d, "orders"), ["o_orderkey", "o_orderdate"]), _shared(spark)
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "MMM d, yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy/MM/dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    sink.write(o.select("o_orderkey", text.alias("day")), path, schema=schemas.normalise([{"o_orderkey": "int64"}, {"day": "date32"}]))
+    return scan.read_rows(spark, path).withColumn("day", F.col("day").cast("string"))
 
 
 _KINDS = [("a", "bigint"), ("b", "double"), ("c", "string"), ("d", "boolean"), ("e", "array<bigint>"), ("f", "map<string,bigint>"), ("g", "decimal(38,18)")]
@@ -394,6 +528,36 @@ def k5_single_file(spark: SparkSession, d: str) -> DataFrame:
     return scan.read_rows(spark, path)
 
 
+@query("SELECT * FROM nation")
+def k5_stream_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Into an open stream, and from its bytes again."""
+    held = io.BytesIO()
+    sink.write_stream(scan.read_rows(spark, _path(d, "nation")), held, _shared(spark), compression="gzip")
+    return scan.read_rows(spark, scan.spooled(spark, held.getvalue(), _shared(spark)))
+
+
+_FAILING = [("a source that fails midway", "nothing readable"), ("one that does not", "25 rows")]
+
+
+@query(_values(_FAILING, "source, left_behind"))
+def k9_failed_write(spark: SparkSession, d: str) -> DataFrame:
+    n = scan.read_rows(spark, _path(d, "nation")).repartition(3)
+
+    def left(df: DataFrame) -> str:
+        path = _shared(spark)
+        try:
+            sink.write(df, path)
+        except TessellaError:
+            pass
+        try:
+            return f"{scan.opened(spark, path).count()} rows"
+        except SourceError:
+            return "nothing readable"
+
+    failing = n.withColumn("n_name", F.when(F.col("n_nationkey") < 20, F.col("n_name")).otherwise(F.raise_error(F.lit("the source failed")).cast("string")))
+    return spark.createDataFrame([("a source that fails midway", left(failing)), ("one that does not", left(n))], "source string, left_behind string")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(1 AS BOOLEAN) AS plain FROM part")
 def k7_writer_properties(spark: SparkSession, d: str) -> DataFrame:
     path = _shared(spark)
@@ -404,8 +568,11 @@ def k7_writer_properties(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS f0, n_name AS f1 FROM nation")
 def k10_no_schema(spark: SparkSession, d: str) -> DataFrame:
-    n = scan.read_rows(spark, _path(d, "nation"))
-    return n.select(coerce.text(F.col("n_nationkey")).alias("f0"), coerce.text(F.col("n_name")).alias("f1"))
+    """Rows without a schema, written as strings f0, f1, ... and read back; the rows are the 25 nations."""
+    path = _shared(spark)
+    rows = [tuple(r) for r in scan.read_rows(spark, _path(d, "nation"), ["n_nationkey", "n_name"]).collect()]
+    sink.write(sink.rows_frame(spark, rows), path)
+    return scan.read_rows(spark, path)
 
 
 _RAGGED = [("even", "ok"), ("ragged", "CoercionError")]
@@ -429,7 +596,7 @@ def k11_ragged(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- metadata
 
-_SF = "/root/testdata/sf0.01"
+_SF = registry.FOLDER
 
 
 @query(f"SELECT num_rows, created_by, num_row_groups FROM parquet_file_metadata('{_SF}/lineitem.parquet')")
@@ -452,6 +619,12 @@ def m6_column_chunks(spark: SparkSession, d: str) -> DataFrame:
     return footer.footers(spark, _path(d, "lineitem"), "chunks").select("row_group", "column_path", "compression", "num_values", "total_compressed_size", "total_uncompressed_size", "data_page_offset", "dictionary_page_offset", "null_count")
 
 
+@query(f"SELECT row_group_id AS row_group, path_in_schema AS column_path, file_offset FROM parquet_metadata('{_SF}/orders.parquet')")
+def m7_chunk_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where the footer says that chunks lie (M6, M7)."""
+    return footer.footers(spark, _path(d, "orders"), "chunks").select("row_group", "column_path", "file_offset")
+
+
 @query(f"SELECT row_group_id AS row_group, path_in_schema AS column_path, trim(e) AS encoding FROM (SELECT row_group_id, path_in_schema, unnest(string_split(encodings, ',')) AS e FROM parquet_metadata('{_SF}/customer.parquet'))")
 def m8_encodings(spark: SparkSession, d: str) -> DataFrame:
     return footer.footers(spark, _path(d, "customer"), "chunks").select("row_group", "column_path", F.explode("encodings").alias("encoding"))
@@ -481,21 +654,57 @@ def h2_type_names(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, schemas.parse_type(n)[0].simpleString()) for n, _ in _NAMES], "name string, kind string")
 
 
-_FORMS = [("fields", "timestamp_ntz"), ("legacy", "timestamp"), ("named", "timestamp_ntz"), ("none", "string")]
+_FORMS = [("fields", "timestamp_ntz"), ("has_timezone", "timestamp"), ("item", "array<timestamp>"), ("legacy", "timestamp"), ("named", "timestamp_ntz"), ("none", "string"), ("unknown key", "SchemaError")]
 
 
 @query(_values(_FORMS, "form, kind"))
 def h6_notations(spark: SparkSession, d: str) -> DataFrame:
     """Every notation (H4 to H6), and what a timestamp is in it."""
-    forms = {"legacy": [{"x": "timestamp"}], "named": [{"name": "x", "type": "timestamp"}], "fields": {"fields": [{"name": "x", "type": "timestamp"}]}, "none": None}
-    return spark.createDataFrame([(k, schemas.normalise(v, 1)[0].dataType.simpleString()) for k, v in sorted(forms.items())], "form string, kind string")
+    forms = {
+        "legacy": [{"x": "timestamp"}],
+        "named": [{"name": "x", "type": "timestamp"}],
+        "fields": {"fields": [{"name": "x", "type": "timestamp"}]},
+        "has_timezone": [{"name": "x", "type": "timestamp", "has_timezone": True}],
+        "item": [{"name": "x", "type": "list", "item": {"type": "timestamp", "has_timezone": True}}],
+        "unknown key": [{"name": "x", "type": "int32", "zone": True}],
+        "none": None,
+    }
+
+    def said(form) -> str:
+        try:
+            return schemas.normalise(form, 1)[0].dataType.simpleString()
+        except TessellaError as e:
+            return type(e).__name__
+
+    return spark.createDataFrame([(k, said(v)) for k, v in sorted(forms.items())], "form string, kind string")
+
 
+_EVERY = [*sorted(schemas.NAMES), "decimal(9,2)", "fixed_len_byte_array(5)", "list<uint8>", "list<list<timestamp_second>>", "map<string,time_nanos>", "uuid"]
 
-@query("SELECT 'int64' AS id_type, true AS round_trip")
+
+@query(_values([(n, "the same") for n in _EVERY], "name, back"))
 def h7_to_dict(spark: SparkSession, d: str) -> DataFrame:
-    s = schemas.define(lambda b: b.field("id", "int64", False).field("name", "string"))
-    said = schemas.to_dict(s)
-    return spark.createDataFrame([(said["fields"][0]["type"], schemas.normalise({"fields": said["fields"]}) == s)], "id_type string, round_trip boolean")
+    """Every type's name to a schema, its dictionary, and the schema again."""
+
+    def back(name: str) -> str:
+        parts = {"type": "binary", "format": "uuid"} if name == "uuid" else {"type": name}
+        s = schemas.normalise([{"name": "x", "nullable": False, **parts}, {"name": "s", "type": "struct", "fields": [{"name": "l", "type": "list", "item": parts}]}])
+        again = schemas.normalise({"fields": schemas.to_dict(s)["fields"]})
+        same = again == s and [f.metadata for f in again] == [f.metadata for f in s] and again["s"].dataType["l"].metadata == s["s"].dataType["l"].metadata
+        return "the same" if same else schemas.to_dict(s)["fields"][0]["type"]
+
+    return spark.createDataFrame([(n, back(n)) for n in _EVERY], "name string, back string")
+
+
+_FOUND = [("address.zip", "int"), ("scores.value", "double"), ("tags.item", "string"), ("nope.x", "nothing"), ("", "12 fields")]
+
+
+@query(_values(_FOUND, "path, kind"))
+def h11_find(spark: SparkSession, d: str) -> DataFrame:
+    """Types by dotted path, and the number of all fields."""
+    s = _people()
+    kinds = [(p, f"{schemas.field_count(s)} fields" if not p else k.simpleString() if (k := schemas.find(s, p)) is not None else "nothing") for p, _ in _FOUND]
+    return spark.createDataFrame(kinds, "path string, kind string")
 
 
 _WRONG = [("duplicate", "SchemaError"), ("empty struct", "SchemaError"), ("list without item", "SchemaError"), ("negative scale", "SchemaError"), ("unknown type", "SchemaError")]
@@ -595,8 +804,8 @@ def z5_drift(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST((rn - 1) // 50 AS BIGINT) AS batch, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events) GROUP BY 1")
 def z6_flushes(spark: SparkSession, d: str) -> DataFrame:
     e = scan.read_rows(spark, _path(d, "events"))
-    sized = e.select("event_id", batching.row_size(e.select("event_id", "value").schema).alias("bytes"), F.lit("events").alias("file"))
-    return batching.flushes(sized, "event_id", "bytes", 50, 1 << 26, "file").groupBy("batch").agg(F.count("*").alias("n"), F.min("at").alias("first_id"))
+    sized = e.select("event_id", batching.row_size(e.select("event_id", "value").schema).alias("bytes"), F.col("_metadata.file_path").alias("file"))
+    return batching.flushes(sized, "event_id", "bytes", 50, 1 << 26, "file").groupBy("part", "batch").agg(F.count("*").alias("n"), F.min("at").alias("first_id")).drop("part")
 
 
 @query(f"SELECT greatest(10, 104857600 // CAST(floor(avg({_DOC_SIZE})) AS BIGINT)) AS batch_size FROM documents")
@@ -621,13 +830,13 @@ def u1_column_sum(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT batch_id, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean FROM (SELECT o_totalprice, CAST((row_number() OVER () - 1) // 250 AS BIGINT) AS batch_id FROM orders) GROUP BY batch_id")
 def u2_batch_mean(spark: SparkSession, d: str) -> DataFrame:
-    rows = scan.numbered(scan.read_rows(spark, _path(d, "orders"))).select(F.floor(F.col("row_index") / 250).cast("long").alias("batch_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
-    return rows.groupBy("batch_id").agg(F.round(F.sum("p").cast("double") / F.count("*"), 4).alias("mean"))
+    rows = scan.numbered(scan.read_rows(spark, _path(d, "orders"))).select("file", F.floor(F.col("row_index") / 250).cast("long").alias("batch_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    return rows.groupBy("file", "batch_id").agg(F.round(F.sum("p").cast("double") / F.count("*"), 4).alias("mean")).drop("file")
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER () AS rn FROM events) WHERE rn <= 25")
 def u3_take(spark: SparkSession, d: str) -> DataFrame:
-    return scan.numbered(scan.read_rows(spark, _path(d, "events"))).orderBy("row_index").limit(25).select("event_id")
+    return scan.numbered(scan.read_rows(spark, _path(d, "events"))).orderBy("file", "row_index").limit(25).select("event_id")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0")
@@ -642,5 +851,5 @@ def u5_with_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n_rows, CAST(ceil(count(*) / 500) AS BIGINT) AS n_batches FROM lineitem")
 def u6_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = scan.numbered(scan.read_rows(spark, _path(d, "lineitem"))).select(F.floor(F.col("row_index") / 500).alias("b"))
-    return rows.groupBy("b").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_batches"))
+    rows = scan.numbered(scan.read_rows(spark, _path(d, "lineitem"))).select("file", F.floor(F.col("row_index") / 500).alias("b"))
+    return rows.groupBy("file", "b").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_batches"))

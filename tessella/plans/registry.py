@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import settled
 
+#: The folder whose tables' footers the SQL of metadata queries reads; ``oracles`` gives the same for another one.
+FOLDER = "/root/testdata/sf0.01"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -32,4 +35,9 @@ def query(sql: str | None) -> Callable:
     return add
 
 
+def oracles(sf_dir: str) -> dict[str, str]:
+    """The SQL of every query, for the tables in ``sf_dir``."""
+    return {name: sql.replace(FOLDER, sf_dir) for name, sql in ORACLE_SQL.items()}
+
+
 from . import queries as _queries  # noqa: E402, F401  (fills the registries)

@@ -1,7 +1,7 @@
 """Schemas: a builder, several notations, and an inspector, all over Spark's StructType.
 
-What Spark's types cannot say (uuid, time units, nanoseconds, unsigned widths, date formats, decimals over 38
-digits) is kept in a field's metadata under ``kind`` and ``format``.
+What Spark's types cannot say (uuid, time units, nanoseconds, unsigned widths, date formats) is kept in a field's metadata under
+``kind`` and ``format``, and for the parts of lists and maps likewise under ``item``, ``key`` and ``value``.
 """
 
 from __future__ import annotations
@@ -69,75 +69,108 @@ def _split(inner: str) -> list[str]:
     return [*out, inner[at:]]
 
 
-def parse_type(name: str, zoned: bool = True) -> tuple[T.DataType, str | None]:
-    """A type's name, nested ones included: ``list<int32>``, ``map<string,list<double>>``, ``decimal(9,2)``."""
+def parse_type(name: str, zoned: bool = True) -> tuple[T.DataType, dict]:
+    """A type's name, nested ones included: ``list<int32>``, ``map<string,list<double>>``, ``decimal(9,2)``; with what Spark's type cannot say."""
     s = name.strip()
     low = s.lower()
     if m := re.fullmatch(r"list<(.+)>", low):
-        return T.ArrayType(parse_type(m[1], zoned)[0], True), None
+        item, meta = parse_type(m[1], zoned)
+        return T.ArrayType(item, True), {"item": meta} if meta else {}
     if m := re.fullmatch(r"map<(.+)>", low):
         parts = _split(m[1])
         if len(parts) != 2:
             raise SchemaError(f"a map needs a key and a value: {s}")
-        return T.MapType(parse_type(parts[0], zoned)[0], parse_type(parts[1], zoned)[0], True), None
+        (key, key_meta), (value, value_meta) = (parse_type(x, zoned) for x in parts)
+        return T.MapType(key, value, True), {k: v for k, v in (("key", key_meta), ("value", value_meta)) if v}
     if m := re.fullmatch(r"decimal(?:128|256)?(?:\((-?\d+)(?:\s*,\s*(-?\d+))?\))?", low):
-        return decimal(*(None if x is None else int(x) for x in m.groups())), None
+        return decimal(*(None if x is None else int(x) for x in m.groups())), {}
     if m := re.fullmatch(r"fixed_len_byte_array\((\d+)\)", low):
-        return T.BinaryType(), f"fixed:{m[1]}"
+        return T.BinaryType(), {"kind": f"fixed:{m[1]}"}
     if low not in NAMES:
         raise SchemaError(f"Unknown type: {s}")
     kind, said = NAMES[low]
     if isinstance(kind, T.TimestampType) and not zoned:
         kind = T.TimestampNTZType()
-    return kind, said
+    meta = {} if said is None else {"kind": said}
+    if said == "timestamp_nanos":
+        meta["has_timezone"] = zoned
+    return kind, meta
+
+
+#: What a part of a schema may say in the dictionary notation.
+PARTS = ("name", "type", "nullable", "item", "key", "value", "fields", "precision", "scale", "length", "format", "has_timezone", "timezone")
+
+
+def node(spec: Any, zoned: bool = False) -> tuple[T.DataType, dict]:
+    """A type from its name, a dictionary, a function that fills a struct, or a Spark type; with what Spark's type cannot say."""
+    if isinstance(spec, T.DataType):
+        return spec, {}
+    if callable(spec):
+        spec = {"type": "struct", "fields": spec}
+    if isinstance(spec, str):
+        spec = {"type": spec}
+    if not isinstance(spec, dict):
+        raise SchemaError(f"neither a type's name nor a dictionary: {spec!r}")
+    if unknown := sorted(set(spec) - set(PARTS)):
+        raise SchemaError(f"unknown keys: {unknown}")
+    get = spec.get
+    if get("type") is None:
+        raise SchemaError("a type is missing")
+    low = str(get("type")).lower()
+    if get("has_timezone") is not None:
+        zoned = bool(get("has_timezone"))
+    elif get("timezone") is not None:
+        zoned = bool(get("timezone"))
+    if low in ("struct", "record"):
+        inner, fields = Builder(zoned=False), get("fields")
+        if callable(fields):
+            fields(inner)
+        else:
+            for f in fields or ():
+                inner.add(f)
+        if not inner.fields:
+            raise SchemaError("a struct needs fields")
+        return T.StructType(inner.fields), {}
+    # lists and maps of structs may give the struct's fields beside
+    part = lambda k: {"type": "struct", "fields": get("fields")} if get("fields") is not None and get(k) in (None, "struct") else get(k)
+    if low == "list":
+        if part("item") is None:
+            raise SchemaError("a list needs an item type")
+        item, meta = node(part("item"))
+        return T.ArrayType(item, True), {"item": meta} if meta else {}
+    if low == "map":
+        if get("key") is None or part("value") is None:
+            raise SchemaError("a map needs a key and a value type")
+        (key, key_meta), (value, value_meta) = node(get("key")), node(part("value"))
+        return T.MapType(key, value, True), {k: v for k, v in (("key", key_meta), ("value", value_meta)) if v}
+    if get("format") == "uuid":
+        return T.StringType(), {"kind": "uuid", "format": "uuid"}
+    if low in ("decimal", "decimal128", "decimal256") and (get("precision") is not None or get("scale") is not None):
+        return decimal(get("precision"), get("scale")), {}
+    kind, meta = parse_type(f"{low}({get('length')})" if low == "fixed_len_byte_array" and get("length") is not None else low, zoned)
+    return kind, meta | ({"format": get("format")} if get("format") is not None else {})
 
 
 class Builder:
-    """Collects fields; ``field`` takes a type name or ``struct``, ``list`` or ``map`` with their parts."""
+    """Collects fields; ``field`` takes a type name or ``struct``, ``list`` or ``map`` with their parts, which may be dictionaries."""
 
     def __init__(self, zoned: bool = True):
         self.fields: list[T.StructField] = []
         self.zoned = zoned
 
-    def field(self, name: str, type: str, nullable: bool = True, *, item: Any = None, key: Any = None, value: Any = None, precision: int | None = None, scale: int | None = None, format: str | None = None, timezone: bool | str | None = None, fields: Callable[[Builder], Any] | None = None) -> Builder:
+    def field(self, name: str, type: str, nullable: bool = True, **parts: Any) -> Builder:
+        return self.add({"name": name, "type": type, "nullable": nullable, **parts})
+
+    def add(self, spec: dict) -> Builder:
+        name, nullable = spec.get("name"), spec.get("nullable", True)
+        if name is None:
+            raise SchemaError(f"a field needs a name: {spec}")
         if any(f.name == name for f in self.fields):
             raise SchemaError(f"Duplicate field name: {name}")
-        zoned = self.zoned if timezone is None else bool(timezone)
-        kind, said = self._kind(type, item, key, value, precision, scale, zoned, fields)
-        meta = {k: v for k, v in (("kind", "uuid" if format == "uuid" else said), ("format", format)) if v is not None}
-        if format == "uuid":
-            kind = T.StringType()
+        kind, meta = node(spec, self.zoned)
         self.fields.append(T.StructField(name, kind, nullable, meta))
         return self
 
-    def _kind(self, type, item, key, value, precision, scale, zoned, fields):
-        low = str(type).lower()
-        if low in ("struct", "record"):
-            inner = Builder(zoned=False)
-            if fields is not None:
-                fields(inner)
-            if not inner.fields:
-                raise SchemaError("a struct needs fields")
-            return T.StructType(inner.fields), None
-        if low == "list":
-            if item is None and fields is None:
-                raise SchemaError("a list needs an item type")
-            return T.ArrayType(self._part(item if item is not None else "struct", fields), True), None
-        if low == "map":
-            if key is None or (value is None and fields is None):
-                raise SchemaError("a map needs a key and a value type")
-            return T.MapType(self._part(key, None), self._part(value if value is not None else "struct", fields), True), None
-        if low == "decimal" and (precision is not None or scale is not None):
-            return decimal(precision, scale), None
-        return parse_type(low, zoned)
-
-    def _part(self, what, fields):
-        if isinstance(what, T.DataType):
-            return what
-        if callable(what):
-            return self._kind("struct", None, None, None, None, None, False, what)[0]
-        return self._kind(what, None, None, None, None, None, False, fields)[0]
-
 
 def define(fill: Callable[[Builder], Any]) -> T.StructType:
     """A schema from calls of ``field`` on a builder."""
@@ -161,8 +194,7 @@ def normalise(schema: Any, width: int | None = None) -> T.StructType:
     b = Builder(zoned=not any("name" in f for f in schema))
     for f in schema:
         if "name" in f:
-            rest = {k: v for k, v in f.items() if k in ("nullable", "item", "key", "value", "precision", "scale", "format", "timezone")}
-            b.field(f["name"], f["type"], fields=(lambda inner, g=f: [inner.field(**x) for x in g["fields"]]) if "fields" in f else None, **rest)
+            b.add(f)
         elif len(f) == 1:
             ((name, kind),) = f.items()
             if not isinstance(kind, str):
@@ -193,16 +225,37 @@ def requires_format(kind: T.DataType) -> bool:
     return isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType))
 
 
-def to_dict(kind: T.DataType, name: str | None = None, nullable: bool = True) -> dict:
-    """The dictionary notation of a schema or a part of one."""
+_WORDS = {"float": "float32", "double": "float64"}
+
+
+def to_dict(kind: T.DataType, name: str | None = None, nullable: bool = True, meta: dict | None = None) -> dict:
+    """The dictionary notation of a schema or a part of one; ``normalise`` reads it back."""
+    meta = meta or {}
+    said, format = meta.get("kind"), meta.get("format")
     out: dict[str, Any] = {} if name is None else {"name": name}
-    out |= {"type": type_name(kind), "nullable": nullable}
+    if said == "uuid":
+        out |= {"type": "fixed_len_byte_array", "length": 16}
+    elif said and said.startswith("fixed:"):
+        out |= {"type": "fixed_len_byte_array", "length": int(said[6:])}
+    elif isinstance(kind, T.DecimalType) and said is None:
+        out |= {"type": "decimal128", "precision": kind.precision, "scale": kind.scale}
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        out |= {"type": f"timestamp_{said or 'micros'}", "has_timezone": isinstance(kind, T.TimestampType)}
+    elif said in NAMES:
+        out["type"] = said
+        if "has_timezone" in meta:
+            out["has_timezone"] = meta["has_timezone"]
+    else:
+        out["type"] = _WORDS.get(type_name(kind), type_name(kind))
+    out["nullable"] = nullable
+    if format is not None:
+        out["format"] = format
     if isinstance(kind, T.StructType):
-        out["fields"] = [to_dict(f.dataType, f.name, f.nullable) for f in kind]
+        out["fields"] = [to_dict(f.dataType, f.name, f.nullable, f.metadata) for f in kind]
     elif isinstance(kind, T.ArrayType):
-        out["item"] = to_dict(kind.elementType, nullable=kind.containsNull)
+        out["item"] = to_dict(kind.elementType, nullable=kind.containsNull, meta=meta.get("item"))
     elif isinstance(kind, T.MapType):
-        out |= {"key": to_dict(kind.keyType, nullable=False), "value": to_dict(kind.valueType, nullable=kind.valueContainsNull)}
+        out |= {"key": to_dict(kind.keyType, nullable=False, meta=meta.get("key")), "value": to_dict(kind.valueType, nullable=kind.valueContainsNull, meta=meta.get("value"))}
     return out
 
 

@@ -15,7 +15,7 @@ SCHEMAS = {
     "file": "file string, num_rows long, created_by string, num_row_groups long, num_columns long, format_version string, key_value_metadata map<string,string>",
     "fields": "file string, position long, name string, type string, physical_type string, type_length long, scale long, precision long, repetition string, converted_type string, logical_type string",
     "row_groups": "file string, ordinal long, num_columns long, num_rows long, total_byte_size long, file_offset long, compressed_size long",
-    "chunks": "file string, row_group long, position long, column_path string, physical_type string, compression string, num_values long, total_compressed_size long, total_uncompressed_size long, data_page_offset long, dictionary_page_offset long, encodings array<string>, null_count long, distinct_count long, min string, max string",
+    "chunks": "file string, row_group long, position long, column_path string, file_path string, file_offset long, has_offset_index boolean, has_column_index boolean, physical_type string, compression string, num_values long, total_compressed_size long, total_uncompressed_size long, data_page_offset long, dictionary_page_offset long, encodings array<string>, null_count long, distinct_count long, min string, max string",
 }
 
 
@@ -55,7 +55,7 @@ def _rows(path: str, what: str) -> list[dict]:
                 c = g.column(j)
                 s = c.statistics if c.is_stats_set else None
                 bound = lambda k, s=s: str(getattr(s, k)) if s is not None and s.has_min_max else None
-                out.append({"file": path, "row_group": i, "position": j, "column_path": c.path_in_schema, "physical_type": c.physical_type, "compression": c.compression, "num_values": c.num_values, "total_compressed_size": c.total_compressed_size, "total_uncompressed_size": c.total_uncompressed_size, "data_page_offset": c.data_page_offset, "dictionary_page_offset": c.dictionary_page_offset, "encodings": list(c.encodings), "null_count": s.null_count if s is not None and s.has_null_count else None, "distinct_count": s.distinct_count if s is not None and s.has_distinct_count else None, "min": bound("min"), "max": bound("max")})
+                out.append({"file": path, "row_group": i, "position": j, "column_path": c.path_in_schema, "file_path": c.file_path or None, "file_offset": c.file_offset, "has_offset_index": c.has_offset_index, "has_column_index": c.has_column_index, "physical_type": c.physical_type, "compression": c.compression, "num_values": c.num_values, "total_compressed_size": c.total_compressed_size, "total_uncompressed_size": c.total_uncompressed_size, "data_page_offset": c.data_page_offset, "dictionary_page_offset": c.dictionary_page_offset, "encodings": list(c.encodings), "null_count": s.null_count if s is not None and s.has_null_count else None, "distinct_count": s.distinct_count if s is not None and s.has_distinct_count else None, "min": bound("min"), "max": bound("max")})
         return out
 
 
@@ -66,7 +66,7 @@ def footers(spark: SparkSession, path: str, what: str = "file") -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"string": pa.string(), "long": pa.int64(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<string>": pa.list_(pa.string())}
+        kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<string>": pa.list_(pa.string())}
         for b in batches:
             for p in b.column(0).to_pylist():
                 rows = _rows(p, what)

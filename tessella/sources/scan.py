@@ -36,9 +36,9 @@ def project(df: DataFrame, columns: Iterable[str] | None) -> DataFrame:
     return df.select(*[quoted(c) for c in df.columns if c in wanted])
 
 
-def numbered(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """With each row's place in its file."""
-    return df.withColumn(name, F.col("_metadata.row_index"))
+def numbered(df: DataFrame, name: str = "row_index", file: str = "file") -> DataFrame:
+    """With each row's file and its place there."""
+    return df.withColumns({name: F.col("_metadata.row_index"), file: F.col("_metadata.file_path")})
 
 
 def batched(spark: SparkSession, path: str, batch_size: int, columns: Iterable[str] | None = None) -> DataFrame:

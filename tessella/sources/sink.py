@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 from typing import Any
 
@@ -33,7 +34,7 @@ def conformed(df: DataFrame, schema: T.StructType) -> DataFrame:
         raise SchemaError(f"missing columns: {missing}")
 
     def column(f: T.StructField) -> Column:
-        c = coerce.to_type(F.col(quoted(f.name)), f.dataType, f.metadata)
+        c = coerce.to_type(F.col(quoted(f.name)), f.dataType, f.metadata, df.schema[f.name].dataType)
         if not f.nullable:
             c = F.coalesce(c, F.raise_error(F.lit(f"Found null value for non-nullable field at {f.name}")).cast(f.dataType))
         return c.alias(f.name, metadata=f.metadata)
@@ -65,6 +66,21 @@ def write_file(df: DataFrame, path: str, **options: Any) -> None:
     fs.delete(folder, True)
 
 
+def write_stream(df: DataFrame, target: io.IOBase, folder: str, **options: Any) -> int:
+    """One file's bytes into an open binary stream, by way of a file below ``folder``, a place that executors see; returns how many."""
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.parquet"
+    write_file(df, path, **options)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    try:
+        data = bytes(df.sparkSession.read.format("binaryFile").load(path).first()["content"])
+        target.write(data)
+    finally:
+        fs.delete(place, True)
+    return len(data)
+
+
 def rows_frame(spark: SparkSession, rows: list, schema: Any = None) -> DataFrame:
     """Rows (sequences or dicts) as a frame in the schema's types; all strings f0, f1, ... without one."""
     if not rows and not schema:

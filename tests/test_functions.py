@@ -1,9 +1,12 @@
 """Coercions and decoders on values chosen for their edges, and properties."""
 
+import datetime
 import struct
 import uuid
 from decimal import ROUND_DOWN, Decimal
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,9 +15,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import coerce, decode
 from tessella.operators import batching
+from tessella.plans import registry
 from tessella.plans import schema as schemas
 from tessella.session import settled
-from tessella.sources import scan, sink
+from tessella.sources import footer, scan, sink
 
 QUICK = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -130,3 +134,90 @@ def test_plan_follows_drift(spark):
     rows = spark.createDataFrame([(f, i, s) for f, x in files.items() for i, s in enumerate(x)], "file string, at long, bytes long").repartition(3)
     got = {(r["file"], r["n"]): (r["batch_size"], r["recent_mean"]) for r in batching.plan(rows, "at", "bytes", threshold, parts="file").collect()}
     assert got == want and len({want["a", i][0] for i in range(101, 361)}) > 2
+
+
+def test_batches_of_several_files(spark, tmp_path):
+    """Batches never cross files, and a file's last one is short."""
+    for i in range(2):
+        spark.range(2500 * i, 2500 * i + 2500).toDF("l_orderkey").withColumn("l_quantity", F.lit(1.0)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{tmp_path}/lineitem.parquet").select(F.col("l_orderkey").alias("event_id"), F.lit("x").alias("event_type"), F.col("l_quantity").alias("o_totalprice")).write.parquet(f"{tmp_path}/events.parquet")
+    q = registry.QUERIES
+    rows = q["s2_scan_batches"](spark, str(tmp_path)).collect()
+    assert sorted((r["batch_id"], r["n"]) for r in rows) == [(0, 1000), (0, 1000), (1, 1000), (1, 1000), (2, 500), (2, 500)]
+    assert all(r["last_key"] - r["first_key"] == r["n"] - 1 for r in rows)
+    assert q["u6_counts"](spark, str(tmp_path)).first()["n_batches"] == 10
+    first = [r["event_id"] for r in q["u3_take"](spark, str(tmp_path)).collect()]
+    assert max(first) - min(first) == 24
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_metadata_at_other_scales(spark, sf):
+    c = duckdb.connect()
+    sql = registry.oracles(f"/root/testdata/{sf}")
+    for name in ("m2_file_metadata", "m3_fields", "m5_row_groups", "m6_column_chunks", "m7_chunk_places", "m8_encodings"):
+        df = registry.QUERIES[name](spark, f"/root/testdata/{sf}")
+        got = c.execute(sql[name])
+        names = [x[0] for x in got.description]
+        assert sorted(map(str, df.select(*names).toPandas().values.tolist())) == sorted(map(str, got.fetchdf().values.tolist()))
+
+
+def conformed(spark, values, kind, spec):
+    with settled(spark):
+        return [r["x"] for r in sink.conformed(spark.createDataFrame([(v,) for v in values], f"x {kind}"), schemas.normalise([{"name": "x", **spec}])).collect()]
+
+
+def test_nested_kinds_hold(spark):
+    assert conformed(spark, [["255", None]], "array<string>", {"type": "list<uint8>"}) == [[255, None]]
+    with pytest.raises(Exception, match="out of range for uint8"):
+        conformed(spark, [["300"]], "array<string>", {"type": "list<uint8>"})
+    with pytest.raises(Exception, match="out of range for uint16"):
+        conformed(spark, [{"k": 70000}], "map<string,int>", {"type": "map", "key": "string", "value": {"type": "uint16"}})
+    some = {"type": "struct", "fields": [{"name": "a", "type": "int8"}, {"name": "b", "type": "list", "item": {"type": "binary", "format": "uuid"}}]}
+    assert conformed(spark, [{"a": 1}], "struct<a: int>", some)[0].asDict() == {"a": 1, "b": None}
+    assert conformed(spark, [None], "struct<a: int>", some) == [None]
+    u = uuid.UUID(int=77)
+    assert conformed(spark, [(2, [u.hex.upper()])], "struct<a: int, b: array<string>>", some)[0].asDict() == {"a": 2, "b": [str(u)]}
+
+
+def test_free_dates_write(spark):
+    assert [str(x) for x in conformed(spark, ["Jan 5, 2023", "2023/01/05", None], "string", {"type": "date32"})] == ["2023-01-05", "2023-01-05", "None"]
+    with pytest.raises(Exception, match="not a date"):
+        conformed(spark, ["soon"], "string", {"type": "date32"})
+
+
+def test_times_and_floats_write(spark):
+    at = datetime.datetime(2023, 1, 5, 1, 2, 3, 456789)
+    assert conformed(spark, [at], "timestamp", {"type": "time_millis"}) == [3723456]
+    assert conformed(spark, [at], "timestamp", {"type": "timestamp_nanos"})[0] % 10**9 == 456789000
+    assert conformed(spark, [" 1.5", "NaN"], "string", {"type": "float32"})[0] == 1.5
+
+
+def test_offsets(spark):
+    assert column(spark, ["2023-01-01T00:00:00+09:00", "2023-01-01T00:00:00.5-0530", "2023-01-01T00:00Z", "2023-01-01T00:00:00", None], "string", coerce.offset) == ["+09:00", "-05:30", "+00:00", None, None]
+
+
+@pytest.mark.parametrize("spec", [{"type": "list"}, {"type": "map", "key": "string"}, {"type": "list", "item": {"type": "string", "zone": 1}}, {"type": "struct", "fields": [{"type": "string"}]}, {}])
+def test_wrong_nodes_raise(spec):
+    with pytest.raises(schemas.SchemaError):
+        schemas.normalise([{"name": "x", **spec}])
+
+
+def test_failures_are_logged(spark, caplog):
+    with caplog.at_level("ERROR", logger="tessella"), pytest.raises(Exception, match="reading"):
+        scan.read_rows(spark, "/nowhere/at/all.parquet")
+    assert "SourceError" in caplog.text
+
+
+def test_truncated_file(spark, tmp_path):
+    whole = Path("/root/testdata/sf0.001/nation.parquet").read_bytes()
+    (tmp_path / "cut.parquet").write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(scan.SourceError):
+        scan.opened(spark, str(tmp_path / "cut.parquet"))
+
+
+def test_row_groups_follow_the_size(spark, tmp_path):
+    df = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1)
+    for size, least in ((1 << 20, 5), (1 << 30, 1)):
+        sink.write(df, f"{tmp_path}/{size}", row_group_bytes=size, dictionary=False)
+        n = footer.footers(spark, f"{tmp_path}/{size}/*.parquet", "row_groups").count()
+        assert n >= least if least > 1 else n == 1
