@@ -339,7 +339,7 @@ class Shard:
 
 
 def repeats(shard: Shard, folder: Path, length: int = LENGTH, memory: int = MEMORY) -> list[list[tuple[int, int]]]:
-    """For each segment of ``shard`` the ranges covered by strings that also start in a smaller document than its own."""
+    """For each segment of ``shard`` the strings that also start in a smaller document than its own: (first start, last end) of runs of them."""
     text = shard.symbols()
     end = np.cumsum(np.array(shard.sizes, dtype=np.int64) + 1) - 1
     docs = np.array(shard.docs, dtype=np.int64)
@@ -372,13 +372,43 @@ def repeats(shard: Shard, folder: Path, length: int = LENGTH, memory: int = MEMO
         at = np.flatnonzero(go[a:b]) + a
         if at.size:
             owner = np.searchsorted(end, at)
-            cut = np.r_[True, (at[1:] > at[:-1] + length) | (owner[1:] != owner[:-1])]
+            cut = np.r_[True, (at[1:] > at[:-1] + 1) | (owner[1:] != owner[:-1])]
             x, y, of = at[cut], at[np.r_[cut[1:], True]] + length, owner[cut]
             for s, i, j in zip(of.tolist(), (x - begin[of]).tolist(), (y - begin[of]).tolist(), strict=True):
                 out[s].append((i, j))
     return out
 
 
+def distinct(text: bytes, length: int = LENGTH) -> tuple[list[tuple[int, int]], list[int]]:
+    """The ranges of ``text`` in which its strings start that come first of equal ones, and for each string where that is.
+
+    Periodic text, whose suffixes would take a step of induction each, has few.
+    """
+    first: dict[bytes, int] = {}
+    same = [first.setdefault(text[i : i + length], i) for i in range(len(text) - length + 1)]
+    parts: list[tuple[int, int]] = []
+    for i, j in enumerate(same):
+        if i == j:
+            if parts and parts[-1][1] == i + length - 1:
+                parts[-1] = (parts[-1][0], i + length)
+            else:
+                parts.append((i, i + length))
+    return parts, same
+
+
+def spread(found: list[tuple[int, int]], same: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
+    """``found``, runs of strings that come first of equal ones, with all equal ones."""
+    go = {i for a, b in found for i in range(a, b - length + 1)}
+    out: list[tuple[int, int]] = []
+    for i, j in enumerate(same):
+        if j in go:
+            if out and out[-1][1] == i + length - 1:
+                out[-1] = (out[-1][0], i + length)
+            else:
+                out.append((i, i + length))
+    return out
+
+
 _RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
@@ -423,7 +453,8 @@ def _sorted_shards(segments: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[tuple[bytes, int, list]] = []  # segments that need no sorting
-        users: list[tuple[int, bytes, int, int]] = []  # of the shard's texts: (text, key, doc, where the text begins in the segment)
+        # others: (key, doc, parts, same); a part is (start, end, text of the shard, or none and whether it goes)
+        users: list[tuple[bytes, int, list[tuple[int, int, int | None, bool]], list[int] | None]] = []
 
         def told(rows: list[tuple[bytes, int, list]]) -> pa.RecordBatch:
             keys, docs, found = zip(*rows, strict=True)
@@ -438,31 +469,29 @@ def _sorted_shards(segments: DataFrame) -> DataFrame:
             if len(group) < 2 and not whole:
                 known.extend((k, d, []) for k, _, d, _ in group)
                 return
-            parts = [(0, len(t)) for _, t, _, _ in group] if whole else trimmed([(t, q) for _, t, _, q in group])
+            several = [t.find(t[q : q + DEAL], q + 1) >= 0 for _, t, _, q in group]
+            ranges = [(0, len(t)) for _, t, _, _ in group] if whole or any(several) else trimmed([(t, q) for _, t, _, q in group])
+            parts = [distinct(t) if s else ([r] if r[1] > r[0] else [], None) for (_, t, _, _), r, s in zip(group, ranges, several, strict=True)]
             texts: dict[bytes, int] = {}
-            for (_, t, d, _), (a, b) in zip(group, parts, strict=True):
-                if b > a:
+            for (_, t, d, _), (some, _) in zip(group, parts, strict=True):
+                for a, b in some:
                     texts[t[a:b]] = min(d, texts.get(t[a:b], d))
-            sort = whole or len(texts) > 1
             at = {}
-            if sort:
+            if whole or len(texts) > 1:
                 for t, d in texts.items():
                     at[t] = len(shard.docs)
                     shard.add(t, d)
-            for (k, t, d, _), (a, b) in zip(group, parts, strict=True):
-                if a == b:
-                    known.append((k, d, []))
-                elif d > texts[t[a:b]]:
-                    known.append((k, d, [(a, b)]))
-                elif sort:
-                    users.append((at[t[a:b]], k, d, a))
-                else:
-                    known.append((k, d, []))
+            for (k, t, d, _), (some, same) in zip(group, parts, strict=True):
+                users.append((k, d, [(a, b, at.get(t[a:b]) if d == texts[t[a:b]] else None, d > texts[t[a:b]]) for a, b in some], same))
 
         def done() -> Iterator[pa.RecordBatch]:
             if users:
-                found = repeats(shard, folder, memory=memory)
-                yield told([(k, d, [(x + a, y + a) for x, y in found[i]]) for i, k, d, a in users])
+                found = repeats(shard, folder, memory=memory) if shard.size else []
+                rows = []
+                for k, d, some, same in users:
+                    go = [x for a, b, i, all_of in some for x in ([(x + a, y + a) for x, y in found[i]] if i is not None else [(a, b)] if all_of else [])]
+                    rows.append((k, d, go if same is None else spread(go, same)))
+                yield told(rows)
                 users.clear()
             if known:
                 yield told(known)
@@ -484,7 +513,7 @@ def _sorted_shards(segments: DataFrame) -> DataFrame:
                 if g != group:
                     close(held, large)
                     group, held, large = g, [], False
-                    if shard.size > most:
+                    if shard.size > most or len(users) > 50_000:
                         yield from done()
                         folder, shard = fresh()
                     elif len(known) > 20_000:
@@ -534,13 +563,14 @@ def kept(docs: DataFrame, text: str = "text") -> DataFrame:
     shared, many = common.Census.filters(_census(rows), (2, MANY))
     shared, many = spark.sparkContext.broadcast(shared), spark.sparkContext.broadcast(many)
     sent = common.stored(_segments(rows, shared, many), "repeats-segments", ("kind",))
-    known = _sorted_shards(sent.where(F.col("kind") == SEGMENT))
+    known = common.stored(_sorted_shards(sent.where(F.col("kind") == SEGMENT)), "repeats-known")
     found = sent.where(F.col("kind") == OCCURRENCE).select("key", "doc", "row", F.col("at").cast("long").alias("at"), "n").join(known, "key")
     own = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["b"] + F.col("at")).alias("b")))
     whole = F.array(F.struct(F.col("at").cast("long").alias("a"), (F.col("at") + F.col("n")).cast("long").alias("b")))
     found = found.select("row", F.when(F.col("doc") > F.col("first"), whole).otherwise(own).alias("r")).where(F.size("r") > 0)
     found = common.stored(found.unionByName(sent.where(F.col("kind") == REPEAT).select("row", whole.alias("r"))), "repeats-found")
     common.dropped(sent)
+    common.dropped(known)
     found = found.groupBy("row").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
