@@ -22,6 +22,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -80,12 +82,20 @@ def bounds_of(df: DataFrame, key: str, n: int) -> list[int]:
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """How many of ``bounds`` are at most ``key``; null keys go to bucket 0."""
+    """How many of ``bounds`` are at most ``key``; null keys go to bucket 0.
+
+    The sorted bounds are looked through in two steps, of about the root of their number each.
+    """
     if not bounds:
         return F.lit(0)
-    held = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
-    # width_bucket over an array is not built in; a sorted array's filter stays in the JVM
-    return F.coalesce(F.size(F.filter(held, lambda b: b <= key)), F.lit(0))
+    size = max(1, round(len(bounds) ** 0.5))
+    rows = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    longs = lambda x: F.array(*[F.lit(int(b)).cast("long") for b in x])
+    below = lambda x: F.size(F.filter(x, lambda b: b <= key))
+    # a row's bounds count only if its first one is at most the key
+    row = below(longs(r[0] for r in rows))
+    found = (row - 1) * size + below(F.element_at(F.array(*map(longs, rows)), F.greatest(row, F.lit(1))))
+    return F.coalesce(F.when(row == 0, F.lit(0)).otherwise(found), F.lit(0))
 
 
 def with_starts(df: DataFrame, key: str, amount: str, start: str, ties: tuple[str, ...] = ()) -> DataFrame:
@@ -94,7 +104,7 @@ def with_starts(df: DataFrame, key: str, amount: str, start: str, ties: tuple[st
     Rows are summed in ranges of ``key``; only one sum a range meets the driver.
     """
     spark = df.sparkSession
-    bounds = bounds_of(df, key, min(1024, partitions(spark)))
+    bounds = bounds_of(df, key, min(8192, partitions(spark)))
     df = df.withColumn("_range", bucket_of(F.col(key), bounds))
     before, total = {}, 0
     for r in sorted(df.groupBy("_range").agg(F.sum(amount).alias("s")).collect()):
@@ -298,24 +308,33 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long): root is the smallest node reachable.
 
     Alternates large-star and small-star steps until nothing changes. Each step aggregates the
-    neighbours of a node to their minimum before any join, and its result is written to the shared
-    folder, so neither a hot node nor a lost executor needs a group in one place.
+    neighbours of a node to their minimum before any join. Nodes with more than a thousandth of all links, and a thousand at least,
+    are under 2,000 whatever the graph: their minima are broadcast, so that their links meet in no one task. Each step's result is
+    written to the shared folder.
     """
     spark = links.sparkSession
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stored(edges, "links")
+    count = edges.count()
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        many = max(1000, count // 1000)
+        hot = F.broadcast(least.where(F.col("n") > many).select("u", "m"))
+        return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(least.where(F.col("n") <= many).select("u", "m"), "u"))
+
     for _ in range(max_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, least)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         after = stored(small.distinct(), "links")
-        same = after.count() == edges.count() and not after.join(edges, ["u", "v"], "left_anti").take(1)
+        number = after.count()
+        same = number == count and not after.join(edges, ["u", "v"], "left_anti").take(1)
         dropped(edges)
-        edges = after
+        edges, count = after, number
         if same:
             break
     else:

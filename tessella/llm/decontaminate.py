@@ -6,14 +6,16 @@ and the longest match that ends at each word is tracked. A window is ``length``
 an item, or a shorter item as a whole.
 
 Edge cases: a null or empty text has no words and is clean; a null or empty item has no window; items
-with equal texts all count; repeated document rows each get their own result; an empty table gives an
-empty result; other columns of the input are passed by or kept as they are.
+with equal texts all count; an item without an item_id hits words but is not among the items found; repeated document rows each get
+their own result; an empty table gives an
+empty result; other columns of the input are passed by or kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of items in one automaton; more items than that are taken in blocks, one pass each.
-MOST_WORDS = 2_000_000
+MOST_WORDS = 500_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -134,13 +136,26 @@ class SuffixAutomaton:
                 else:
                     merged.append((a, b))
             spans = merged
+        found.discard(None)
         return spans, found
 
 
+_machines: dict[str, SuffixAutomaton] = {}
+
+
+def _machine(name: str, items: list[tuple[int, list[bytes]]], length: int) -> SuffixAutomaton:
+    """The worker's own automaton of a block of items: made once, however many tasks it runs; the last two are kept."""
+    if name not in _machines:
+        while len(_machines) > 1:
+            del _machines[next(iter(_machines))]
+        _machines[name] = SuffixAutomaton(items, length)
+    return _machines[name]
+
+
 def _blocks(items: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[int, list[bytes]]]]:
     """The items' words in lists of at most ``most`` words (or one item)."""
     block, n = [], 0
-    for r in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t is not null and i is not null").toLocalIterator():
+    for r in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t is not null").toLocalIterator():
         w = words(r["t"])
         if not w:
             continue
@@ -164,10 +179,10 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, keep: tup
     schema = "n_words long, spans array<struct<a: long, b: long>>, items array<long>"
 
     def over(df: DataFrame, kept: tuple[str, ...], block: list, only_hits: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = SuffixAutomaton(shared.value, length)
+            machine = _machine(name, shared.value, length)
             for b in batches:
                 n, spans, found = [], [], []
                 for t in b.column(len(kept)).to_pylist():
@@ -214,6 +229,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, length: int = 10, max_cove
 
     Rows without a hit come back unchanged, in all their columns.
     """
+    columns, kinds = docs.columns, docs.schema
+    text = f"c{columns.index(text)}"
+    docs = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     names = tuple(docs.columns)
     out = contamination(docs, items, length, names, text)
 
@@ -230,7 +248,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, length: int = 10, max_cove
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, list(names)).filter(pa.array(keep, pa.bool_()))
 
-    return out.mapInArrow(clean, docs.schema)
+    return out.mapInArrow(clean, docs.schema).toDF(*columns).select(*[F.col(common.quoted(f.name)).alias(f.name, metadata=f.metadata) for f in kinds])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

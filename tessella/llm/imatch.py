@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -198,18 +199,22 @@ def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commone
     return Lexicon([r["term"] for r in band.select("term").toLocalIterator()])
 
 
-def fingerprints(docs: DataFrame, words: Lexicon, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``_fingerprint``; no shuffle."""
+def fingerprints(docs: DataFrame, words: Lexicon, text: str = "text", into: str = "_fingerprint") -> DataFrame:
+    """``docs`` with a column ``into`` (which replaces one of that name); no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
-    names, at = docs.columns, docs.columns.index(text)
+    columns = [c for c in docs.columns if c != into]
+    docs = docs.select(*[F.col(common.quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    names, at = docs.columns, columns.index(text)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(Lexicon.text(shared.value.prints(texts)), pa.string())], [*names, "_fingerprint"])
+            for k in range(0, b.num_rows, 500):
+                some = b.slice(k, 500)
+                texts = [t or "" for t in some.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(Lexicon.text(shared.value.prints(texts)), pa.string())], [*names, "print"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(add, f"{kinds}, _fingerprint string")
+    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], T.StructField("print", T.StringType())])
+    return docs.mapInArrow(add, out).toDF(*columns, into)
 
 
 def in_ranges(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ every row, without a shuffle.
 Edge cases: null and empty texts have no term and score the bias; null doc_ids are scored, are never
 held out and never fitted on; null labels are not fitted on; repeated label rows of a document count
 once (toxic if any says so); without labels, or with labels of one class, the score is the smoothed
-share of toxic rows. Labels, lang, source and doc_id are never inputs of a score.
+share of toxic rows (a quarter without any). Labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -95,7 +96,7 @@ def fit(rows: list[list[int]], labels: np.ndarray, index: dict[int, int], rank:
     """Adam on the logistic loss, with a small L2 penalty on the weights that a batch touches."""
     rng = np.random.default_rng(seed)
     n, m = len(rows), len(index)
-    share = (labels.sum() + 1) / (n + 2)
+    share = (labels.sum() + 0.5) / (n + 2)  # without labels nothing is toxic
     bias, w, v = float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, 0.02, (m, rank))
     if n == 0 or m == 0 or labels.min() == labels.max():
         return Machine(index, bias, w, v)
@@ -182,24 +183,28 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.active(t, known) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "at"])
 
     got = rows.mapInArrow(active, "y int, at array<int>").collect()
+    common.dropped(rows)
     got.sort(key=lambda r: (r["y"], r["at"]))  # the fit is the same however the rows were dealt
     return fit([r["at"] for r in got], np.array([float(r["y"] > 0) for r in got]), index, rank)
 
 
-def scored(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``; every other column stays."""
+def scored(docs: DataFrame, machine: Machine, text: str = "text", into: str = "_score") -> DataFrame:
+    """``docs`` with a column ``into`` (which replaces one of that name); every other column stays."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    names = docs.columns
-    at = names.index(text)
+    columns = [c for c in docs.columns if c != into]
+    docs = docs.select(*[F.col(common.quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    names, at = docs.columns, columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            rows = [shared.value.active(t, known) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(rows), pa.float64())], [*names, "_score"])
+            for k in range(0, b.num_rows, 1000):
+                some = b.slice(k, 1000)
+                rows = [shared.value.active(t, known) for t in some.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(shared.value.scores(rows), pa.float64())], [*names, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{kinds}, _score double")
+    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(score, out).toDF(*columns, into)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,17 +254,24 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
+#: Tasks that the pages of one payload are dealt to.
+SALTS = 64
+
+
 def marked(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``pages`` (page_id, url, html) as rows of WRITE_SCHEMA.
 
-    Which records are revisits is found from ids and digests alone. Payloads are dealt once, by
+    Which records are revisits is found from ids and digests alone: a repeated payload's largest id is sent
+    ``SALTS`` times, to as many tasks as its other ids are dealt to. Payloads are dealt once, by
     page_id, so a payload that a third of all pages share meets in no single task.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_sha1", F.sha1("payload"))
     ids = p.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least_bytes)).groupBy("page_id", "payload_sha1").agg(F.count("*").alias("_n"))
-    first = ids.groupBy("payload_sha1").agg(F.max("page_id").alias("_first"))
-    again = ids.join(first, "payload_sha1").where("page_id < _first").select(F.col("page_id").alias("_id"), F.col("payload_sha1").alias("_sha1"), "_first")
+    first = ids.groupBy("payload_sha1").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    first = first.select("payload_sha1", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = ids.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    again = salted.join(first, ["payload_sha1", "_salt"]).where("page_id < _first").select(F.col("page_id").alias("_id"), F.col("payload_sha1").alias("_sha1"), "_first")
     out = p.join(again, (F.col("page_id") == F.col("_id")) & (F.col("payload_sha1") == F.col("_sha1")), "left")
     return out.select("page_id", "url", F.when(F.col("_first").isNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_sha1", F.when(F.col("_first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("_first").alias("refers_to"))
 

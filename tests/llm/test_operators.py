@@ -452,6 +452,18 @@ def test_trimmed_segments_keep_all_that_is_shared():
             assert all(a <= j and j + 50 <= b for j in shared)
 
 
+def test_distinct_strings_of_periodic_text():
+    r = random.Random(2)
+    for _ in range(100):
+        t = b"".join(r.choice([b"ab" * 90, b"x" * 200, bytes(r.choices(b"abcdef", k=60)), b"a--" * 50]) for _ in range(3))
+        parts, same = suffixdedup.distinct(t)
+        every = [t[i : i + 50] for i in range(len(t) - 49)]
+        assert sorted(set(every)) == sorted(t[i : i + 50] for a, b in parts for i in range(a, b - 49))
+        some = sorted(r.sample(sorted(set(same)), min(3, len(set(same)))))
+        got = {i for a, b in suffixdedup.spread([(i, i + 50) for i in some], same) for i in range(a, b - 49)}
+        assert got == {i for i, x in enumerate(every) if x in {every[j] for j in some}}
+
+
 def test_op6_rows_of_one_id(spark):
     """Rows of one doc_id, or without, lose nothing to each other, and each its own repeats of smaller documents."""
     r = random.Random(6)
@@ -498,15 +510,22 @@ def test_t_occurrence_equals_counting():
         assert jaccard.t_occurrence(q, sets) == [i for i, s in enumerate(sets) if 100 * np.intersect1d(q, s).size >= 75 * np.union1d(q, s).size]
 
 
+def test_buckets(spark):
+    for bounds in ([], [5], [1, 2, 3, 9, 20, 21, 40], list(range(0, 300, 3))):
+        df = spark.createDataFrame([(x,) for x in [None, *range(-2, 310)]], "x long").withColumn("b", common.bucket_of(F.col("x"), bounds))
+        assert all(r["b"] == (0 if r["x"] is None else sum(b <= r["x"] for b in bounds)) for r in df.collect())
+
+
 def test_components(spark):
     r = random.Random(3)
-    pairs = [(i, i + 1) for i in range(50)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(30)] + [(300, 300 + i) for i in range(60)]
+    pairs = [(i, i + 1) for i in range(50)] + [(5000, 5001 + i) for i in range(1500)] + [(9000 + i, 8000) for i in range(1200)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(30)] + [(300, 300 + i) for i in range(60)]
     root = {x: x for p in pairs for x in p}
-    for _ in range(200):
+    for _ in range(60):
         for a, b in pairs:
             root[a] = root[b] = min(root[a], root[b])
     got = {x["node"]: x["root"] for x in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {k: v for k, v in root.items() if any(k in p and p[0] != p[1] for p in pairs)}
+    linked = {x for p in pairs if p[0] != p[1] for x in p}
+    assert got == {k: v for k, v in root.items() if k in linked}
 
 
 def test_op8(spark, tmp_path):
