@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
+
+Edge cases: rows with a null text pass every stage and are packed as one end id; rows with a null doc_id are scored, lose repeated
+lines as the last of all, are in no group of near-duplicates and are packed; of rows repeated with one doc_id the first keeps its lines, and all
+stay, as one document; without labels nothing is toxic; without benchmark items nothing is cut; an empty table gives no
+sequence; columns besides ``COLUMNS`` are dropped by the first stage.
+"""
 
 from __future__ import annotations
 
