@@ -536,6 +536,38 @@ def k5_stream_sink(spark: SparkSession, d: str) -> DataFrame:
     return scan.read_rows(spark, scan.spooled(spark, held.getvalue(), _shared(spark)))
 
 
+_WRITER = [("closed", "25 rows"), ("open", "nothing readable"), ("used after close", "TessellaError"), ("failed", "nothing readable")]
+
+
+@query(_values(_WRITER, "state, outcome"))
+def k8_writer(spark: SparkSession, d: str) -> DataFrame:
+    """What is readable while a writer is open, once it is closed, and after an error."""
+    n = scan.read_rows(spark, _path(d, "nation"))
+
+    def seen(path: str) -> str:
+        try:
+            return f"{scan.opened(spark, path).count()} rows"
+        except SourceError:
+            return "nothing readable"
+
+    path, other, out = _shared(spark), _shared(spark), {}
+    w = sink.Writer(spark, path, compression="zstd").write(n.where("n_nationkey < 10"))
+    out["open"] = seen(path)
+    w.write(n.where("n_nationkey >= 10")).close()
+    out["closed"] = seen(path)
+    try:
+        w.write(n)
+    except TessellaError as e:
+        out["used after close"] = type(e).__name__
+    try:
+        with sink.Writer(spark, other) as w:
+            w.write(n)
+            raise ValueError("the source failed")
+    except ValueError:
+        out["failed"] = seen(other)
+    return spark.createDataFrame(sorted(out.items()), "state string, outcome string")
+
+
 _FAILING = [("a source that fails midway", "nothing readable"), ("one that does not", "25 rows")]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ArgumentError, SchemaError, explained
+from ..errors import ArgumentError, SchemaError, TessellaError, explained
 from ..functions import coerce
 from ..plans import schema as schemas
 from .scan import quoted
@@ -81,6 +81,44 @@ def write_stream(df: DataFrame, target: io.IOBase, folder: str, **options: Any)
     return len(data)
 
 
+class Writer:
+    """Frames written one after another, which become readable together when it closes; an error inside a ``with`` leaves nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, **options: Any):
+        self.spark, self.path, self.options = spark, path, options
+        self.staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        self.closed = False
+
+    def _fs(self, path: str) -> tuple[Any, Any]:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def write(self, df: DataFrame) -> Writer:
+        if self.closed:
+            raise TessellaError(f"the writer of {self.path} is closed")
+        write(df, self.staged, mode="append", **self.options)
+        return self
+
+    def close(self) -> None:
+        if self.closed:
+            return
+        self.closed = True
+        fs, staged = self._fs(self.staged)
+        if fs.exists(staged) and not fs.rename(staged, self._fs(self.path)[1]):
+            raise TessellaError(f"cannot move {self.staged} to {self.path}")
+
+    def abort(self) -> None:
+        self.closed = True
+        fs, staged = self._fs(self.staged)
+        fs.delete(staged, True)
+
+    def __enter__(self) -> Writer:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        self.close() if kind is None else self.abort()
+
+
 def rows_frame(spark: SparkSession, rows: list, schema: Any = None) -> DataFrame:
     """Rows (sequences or dicts) as a frame in the schema's types; all strings f0, f1, ... without one."""
     if not rows and not schema:

@@ -221,3 +221,43 @@ def test_row_groups_follow_the_size(spark, tmp_path):
         sink.write(df, f"{tmp_path}/{size}", row_group_bytes=size, dictionary=False)
         n = footer.footers(spark, f"{tmp_path}/{size}/*.parquet", "row_groups").count()
         assert n >= least if least > 1 else n == 1
+
+
+def size_of(v, kind, core=False):
+    """A plain model of both size estimates."""
+    if v is None:
+        return 0 if core else 1
+    if kind in ("int", "long"):
+        return 4 if kind == "int" else 8
+    if kind == "string":
+        return len(v.encode()) + 24
+    if kind[0] == "list":
+        if not core:
+            return 24 + sum(size_of(x, kind[1]) for x in v)
+        return 24 if not v else 24 + sum(size_of(x, kind[1], True) for x in v[:5]) // len(v[:5]) * len(v)
+    if kind[0] == "map":
+        pairs = [size_of(k, kind[1], core) + size_of(x, kind[2], core) for k, x in v.items()]
+        if not core:
+            return 48 + sum(pairs)
+        return 32 if not v else 32 + sum(pairs[:5]) // len(pairs[:5]) * len(pairs)
+    return (24 if core else 48) + sum(size_of(x, k, core) + (0 if core else len(n) + 24) for (n, k), x in zip(kind[1], v, strict=True))
+
+
+def test_sizes_of_nested_values(spark):
+    kinds = [("list", "string"), ("map", "string", "int"), ("struct", [("ab", "string"), ("c", ("list", "long"))]), ("list", ("list", "int"))]
+    ddl = "a array<string>, b map<string,int>, c struct<ab: string, c: array<bigint>>, d array<array<int>>"
+    rows = [
+        (["x", "yy" * 40, None, "z", "é", "w" * 9, "v"], {"k": 1, "kk": None}, ("s", [1, 2]), [[1], [], None, [2, 3]]),
+        ([], {}, (None, None), []),
+        (None, None, None, None),
+        (["q"] * 12, {str(i) * i: i for i in range(1, 9)}, ("é", []), [[1] * 7] * 6),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {ddl}")
+    for core in (False, True):
+        got = {r["i"]: r["n"] for r in df.select("i", batching.row_size(df.drop("i").schema, core).alias("n")).collect()}
+        assert got == {i: sum(size_of(v, k, core) for v, k in zip(r, kinds, strict=True)) for i, r in enumerate(rows)}
+
+
+def test_what_needs_a_format():
+    s = schemas.define(lambda b: b.field("a", "date32").field("b", "timestamp").field("c", "decimal(9,2)").field("d", "string").field("e", "int8"))
+    assert [schemas.requires_format(f.dataType) for f in s] == [True, True, True, False, False]
