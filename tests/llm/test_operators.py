@@ -582,6 +582,36 @@ def test_op10(spark, sf):
     assert sum(x[2] == "revisit" for x in want.values()) >= 6
 
 
+def test_op10_null_ids_and_repeated_pages(spark, tmp_path):
+    """Pages without an id are responses that none refers to; of one id's equal rows all are what the id is; another payload of that id stands for itself."""
+    pages = [(None, "u", "same"), (None, "u", "same"), (1, "u", "same"), (1, "u", "same"), (2, None, "same"), (2, "u", "other"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 100)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], str(r["refers_to"])) for r in warc.op10_warc(spark, str(tmp_path)).collect())
+    want = [("None", 4, "response", "None")] * 2 + [("1", 4, "revisit", "2")] * 2 + [("2", 4, "response", "None"), ("2", 5, "response", "None"), ("3", 0, "revisit", "4"), ("4", 0, "response", "None"), ("5", 100, "response", "None")]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["op3_pii", "op4_chunkstore", "op5_packing", "op7_jaccard", "op9_decontaminate"])
+def test_values_of_repeated_and_null_ids(spark, sf, tmp_path, name):
+    """Repeated rows get what the row alone gets; a row without an id what its text gets."""
+    t = spark.read.parquet(f"{sf}/documents.parquet")
+    more = t.unionByName(t.where("doc_id < 12")).unionByName(t.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = {"op3_pii": ["base_sha256", "spans"], "op4_chunkstore": ["n_tokens", "ids_crc32"], "op5_packing": ["doc_tokens"], "op7_jaccard": ["n_shingles"], "op9_decontaminate": ["n_words", "n_hit", "items_sha256"]}[name]
+
+    def rows(d):
+        out = {}
+        for r in registry.QUERIES[name](spark, d).select("doc_id", *own).collect():
+            out.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+        return out
+
+    alone, both = rows(sf), rows(str(tmp_path))
+    assert set(both[None]) == set(alone[9])
+    for i, x in alone.items():
+        assert set(both[i]) == set(x) and (len(both[i]) == (2 if i < 12 else 1) * len(x) or name == "op5_packing")
+
+
 def test_warc_filters(spark, sf, tmp_path):
     path = str(tmp_path / "warc")
     warc.write(common.table(spark, sf, "pages"), path, least_bytes=5)
