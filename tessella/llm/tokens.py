@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Chunks longer than this, or more than this many, are not remembered.
-LONGEST, MOST = 64, 600_000
+LONGEST, MOST = 64, 800_000
 #: How the vocabulary writes the end of a word.
 WORD_END = "</w>"
 
