@@ -76,8 +76,11 @@ class Machine:
         return _sigmoid(_raw(at, doc, len(rows), self.bias, self.w, self.v)[0])
 
 
-def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of ``rows`` (lists or arrays) in turn, and the row of each."""
     n = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+    if rows and isinstance(rows[0], np.ndarray):
+        return np.concatenate(rows), np.repeat(np.arange(len(rows)), n)
     return np.fromiter((i for r in rows for i in r), dtype=np.int64, count=int(n.sum())), np.repeat(np.arange(len(rows)), n)
 
 
@@ -92,7 +95,7 @@ def _raw(at, doc, n, bias, w, v):
     return z + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, index: dict[int, int], rank: int = RANK, epochs: int = 30, batch: int = 1024, seed: int = 7) -> Machine:
+def fit(rows: list, labels: np.ndarray, index: dict[int, int], rank: int = RANK, epochs: int = 30, batch: int = 1024, seed: int = 7) -> Machine:
     """Adam on the logistic loss, with a small L2 penalty on the weights that a batch touches."""
     rng = np.random.default_rng(seed)
     n, m = len(rows), len(index)
@@ -180,12 +183,17 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.active(t, known) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "at"])
+            for k in range(0, b.num_rows, 1000):
+                some = b.slice(k, 1000)
+                found = [np.array(shared.value.active(t, known), dtype="<i4").tobytes() for t in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary())], ["y", "at"])
 
-    got = rows.mapInArrow(active, "y int, at array<int>").collect()
+    # the driver holds terms as bytes, four each
+    table = rows.mapInArrow(active, "y int, at binary").toArrow()
+    got = sorted(zip(table.column("y").to_pylist(), table.column("at").to_pylist(), strict=True))  # the fit is the same however the rows were dealt
+    del table
     common.dropped(rows)
-    got.sort(key=lambda r: (r["y"], r["at"]))  # the fit is the same however the rows were dealt
-    return fit([r["at"] for r in got], np.array([float(r["y"] > 0) for r in got]), index, rank)
+    return fit([np.frombuffer(at, dtype="<i4") for _, at in got], np.array([float(y > 0) for y, _ in got]), index, rank)
 
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text", into: str = "_score") -> DataFrame:
