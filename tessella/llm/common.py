@@ -263,7 +263,7 @@ class BitFilter:
 
     BLOCK = 15  # bits of a block's own address
 
-    def __init__(self, bits: int, data: bytes):
+    def __init__(self, bits: int, data: bytes | bytearray):
         self.bits, self.map = bits, np.frombuffer(data, dtype=np.uint8)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
@@ -298,7 +298,7 @@ class BitFilter:
         size = 1 << (cls.BLOCK - 3)
         for r in rows.toLocalIterator():
             whole[r["k"] * size : (r["k"] + 1) * size] = r["v"]
-        return cls(bits, bytes(whole))
+        return cls(bits, whole)
 
 
 # ---------------------------------------------------------------- connected components
@@ -356,7 +356,7 @@ class Levels:
     Its size is fixed. Hashes of one slot get the level of the most common of them, so levels are at least the true ones.
     """
 
-    def __init__(self, bits: int, data: bytes):
+    def __init__(self, bits: int, data: bytes | bytearray):
         self.bits, self.map = bits, np.frombuffer(data, dtype=np.uint8)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
@@ -406,7 +406,7 @@ class Census:
         yield pa.RecordBatch.from_arrays([pa.array(parts[begins], pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["part", "hashes", "counts"])
 
     @classmethod
-    def _maps(cls, df: DataFrame, each: int, form: Callable[[np.ndarray, np.ndarray], list[bytes]], maps: int) -> list[bytes]:
+    def _maps(cls, df: DataFrame, each: int, form: Callable[[np.ndarray, np.ndarray], list[bytes]], maps: int) -> list[bytearray]:
         """``form`` turns a block's slots and counts into ``maps`` byte strings of ``each`` bytes; whole maps meet on the driver."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,7 +442,7 @@ class Census:
         for r in rows.toLocalIterator():
             for whole, block in zip(wholes, r["blocks"], strict=True):
                 whole[r["part"] * each : (r["part"] + 1) * each] = block
-        return [bytes(w) for w in wholes]
+        return wholes
 
     @classmethod
     def filters(cls, df: DataFrame, limits: tuple[int, ...]) -> list[BitFilter]:
