@@ -119,12 +119,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
         size, sent = int(width[-1]), set()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(ids), 250):
+            for at, upto in tokens.slices(texts):
                 rows = []
-                datas = [d + last for d in coder.encode([t or "" for t in texts[at : at + 250]])]
+                datas = [d + last for d in coder.encode([t or "" for t in texts[at:upto]])]
                 stream = np.frombuffer(b"".join(datas), dtype="<u4")
                 narrow, origin = stream.astype(width).tobytes(), 0
-                for doc, data, ends in zip(ids[at : at + 250], datas, batch_ends(stream, [len(d) // 4 for d in datas]), strict=True):
+                for doc, data, ends in zip(ids[at:upto], datas, batch_ends(stream, [len(d) // 4 for d in datas]), strict=True):
                     begin, chunks, counts = 0, [], []
                     for to in ends:
                         key = address(data[4 * begin : 4 * to])

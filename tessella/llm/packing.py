@@ -142,9 +142,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 20_000], strict=True)], [f.split()[0] for f in f"{SCHEMA}, round _, bin _, offset _".split(", ")])
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
-                for doc, data in zip(some.column(0).to_pylist(), coder.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for at, upto in tokens.slices(texts):
+                for doc, data in zip(docs[at:upto], coder.encode([t or "" for t in texts[at:upto]]), strict=True):
                     ids.append(doc)
                     datas.append(data + last)
                     size += len(data) // 4 + 1
