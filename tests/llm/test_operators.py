@@ -434,6 +434,38 @@ def test_op6(spark, sf, docs, many, memory, few, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in suffixdedup.op6_suffix_dedup(spark, sf).collect()} == suffixdedup.brute(list(docs.items()))
 
 
+def test_op6_in_rounds(spark, sf, docs, monkeypatch):
+    """Segments go round by round, and the results are the same; a larger text has a larger census."""
+    size = sum(len((t or "").encode()) for t in docs.values())
+    monkeypatch.setattr(suffixdedup, "PER_ROUND", size // 3)
+    monkeypatch.setattr(suffixdedup, "SPARSE", size // 2 + 1)
+    gone, drop = [], common.dropped
+    monkeypatch.setattr(common, "dropped", lambda df, folder="": (gone.append(folder), drop(df, folder)))
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffixdedup.op6_suffix_dedup(spark, sf).collect()} == suffixdedup.brute(list(docs.items()))
+    assert [g for g in gone if g] == [f"kind={k}/round={i}" for i in range(4) for k in (0, 1)]
+    assert suffixdedup.census_bits(size) == 28
+    monkeypatch.undo()
+    assert [suffixdedup.census_bits(n << 30) for n in (0, 1, 2, 3, 4, 8, 100)] == [27, 27, 28, 29, 29, 30, 30]
+
+
+@pytest.mark.parametrize("bits", [17, 19])
+def test_census_filters_are_sparse(spark, bits):
+    """What two tasks have is found; of others fewer pass than a bitmap with one bit each lets through."""
+    n = 5000 << bits - 17
+    h = common.mixed(np.arange(40 * n, dtype=np.uint64))
+
+    def count(batches):
+        held = common.Census(bits=bits)
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                yield from held.add(h[:n] if i % 2 else h[: 2 * n])
+        yield from held.flush()
+
+    two, four = common.Census.filters(spark.range(4, numPartitions=4).mapInArrow(count, common.Census.SCHEMA), (2, 4), bits)
+    assert two.has(h[: 2 * n]).all() and four.has(h[:n]).all()
+    assert two.has(h[2 * n :]).mean() < 0.03 and four.has(h[2 * n :]).mean() < 0.01
+
+
 def test_trimmed_segments_keep_all_that_is_shared():
     r = random.Random(9)
     for _ in range(300):
