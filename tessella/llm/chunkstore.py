@@ -140,7 +140,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
                     origin += len(data) // 4
                 yield _batch(rows)
 
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, _SCHEMA)
+    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.lean(encode, "tokens"), _SCHEMA)
     sent = sent.withColumn("_deal", F.when(F.col("kind") == 0, F.xxhash64("key")).otherwise(F.xxhash64("doc_id", "key")))
     staged = f"{path}/staged"
     # tasks that hold one chunk each send it: one of them is kept; documents all stay
@@ -174,7 +174,7 @@ def _roots(spark: SparkSession, path: str) -> DataFrame:
             yield line()
 
     recipes = spark.read.parquet(f"{path}/recipes").select("range", "root", "n_tokens", "doc_id").repartition(common.partitions(spark), "range").sortWithinPartitions("range", "doc_id", "root")
-    return recipes.select("range", "root", "n_tokens").mapInArrow(roots, "range int, documents long, ids long, root binary")
+    return recipes.select("range", "root", "n_tokens").mapInArrow(common.lean(roots), "range int, documents long, ids long, root binary")
 
 
 def verify(spark: SparkSession, path: str) -> None:
@@ -228,9 +228,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                 crc.append(common.crc_joined([(p["crc"], 4 * p["n_ids"]) for p in parts]))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    read = chunks(spark, path).mapInArrow(check, "hash binary, n_ids long, crc long")
+    read = chunks(spark, path).mapInArrow(common.lean(check), "hash binary, n_ids long, crc long")
     parts = _refs(spark, path).join(read, "hash", "left").groupBy("doc_id", "start", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "n_ids", "crc"))).alias("parts"))
-    return parts.mapInArrow(whole, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.mapInArrow(common.lean(whole), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -247,7 +247,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     parts = _refs(spark, path).join(chunks(spark, path), "hash", "left").groupBy("doc_id", "start", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "n_ids", "payload"))).alias("parts"))
-    return parts.mapInArrow(join, "doc_id long, start long, ids array<int>")
+    return parts.mapInArrow(common.lean(join), "doc_id long, start long, ids array<int>")
 
 
 def op4_chunkstore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,7 @@ class SuffixAutomaton:
 
 
 _machines: dict[str, SuffixAutomaton] = {}
+common.CACHES["automata"] = _machines.clear
 
 
 def _machine(name: str, items: list[tuple[int, list[bytes]]], length: int) -> SuffixAutomaton:
@@ -195,7 +196,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, keep: tup
                 yield out.filter(pa.array([bool(s) for s in spans], pa.bool_())) if only_hits else out
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
-        return df.select(*kept, F.col(text).alias("_text")).mapInArrow(scan, f"{kinds}, {schema}" if kept else schema)
+        return df.select(*kept, F.col(text).alias("_text")).mapInArrow(common.lean(scan, "automata"), f"{kinds}, {schema}" if kept else schema)
 
     if len(blocks) == 1:
         return over(docs, keep, blocks[0], False)
@@ -248,7 +249,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, length: int = 10, max_cove
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, list(names)).filter(pa.array(keep, pa.bool_()))
 
-    return out.mapInArrow(clean, docs.schema).toDF(*columns).select(*[F.col(common.quoted(f.name)).alias(f.name, metadata=f.metadata) for f in kinds])
+    return out.mapInArrow(common.lean(clean, "automata"), docs.schema).toDF(*columns).select(*[F.col(common.quoted(f.name)).alias(f.name, metadata=f.metadata) for f in kinds])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

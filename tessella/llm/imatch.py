@@ -189,7 +189,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
         if seen:
             yield flush()
 
-    return docs.select(common.text_of(docs, text)).mapInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return docs.select(common.text_of(docs, text)).mapInArrow(common.lean(count), "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> Lexicon:
@@ -214,7 +214,7 @@ def fingerprints(docs: DataFrame, words: Lexicon, text: str = "text", into: str
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(Lexicon.text(shared.value.prints(texts)), pa.string())], [*names, "print"])
 
     out = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], T.StructField("print", T.StringType())])
-    return docs.mapInArrow(add, out).toDF(*columns, into)
+    return docs.mapInArrow(common.lean(add), out).toDF(*columns, into)
 
 
 def in_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -293,4 +293,4 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         if len(held) > 1:
             yield done(held)
 
-    return in_ranges(docs).mapInArrow(run, OP1_SCHEMA)
+    return in_ranges(docs).mapInArrow(common.lean(run), OP1_SCHEMA)

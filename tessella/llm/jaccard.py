@@ -156,7 +156,7 @@ def _census(docs: DataFrame) -> DataFrame:
                 yield from held.add(np.concatenate(sets))
         yield from held.flush()
 
-    return docs.mapInArrow(count, common.Census.SCHEMA)
+    return docs.mapInArrow(common.lean(count), common.Census.SCHEMA)
 
 
 def _postings(docs: DataFrame, levels, frequent: int) -> DataFrame:
@@ -182,7 +182,7 @@ def _postings(docs: DataFrame, levels, frequent: int) -> DataFrame:
                 shingles = np.concatenate([x for x, _ in found]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(shingles), doc.take(pa.array(at)), pa.array(sizes[at]), pa.array(live[at]), pa.array(place.astype(np.int32)), *[pa.nulls(at.size, pa.int64()) for _ in words]], names)
 
-    return docs.mapInArrow(emit, ", ".join(["shingle long, doc long, size int, live int, place int", *[f"{w} long" for w in words]]))
+    return docs.mapInArrow(common.lean(emit), ", ".join(["shingle long, doc long, size int, live int, place int", *[f"{w} long" for w in words]]))
 
 
 def t_occurrence(query: np.ndarray, sets: list[np.ndarray], mu: float = 0.01) -> list[int]:
@@ -228,7 +228,7 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for ids, sets in _batches(iter([b.filter(pa.array(keep))])):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
-    sets = common.stored(docs.mapInArrow(emit, "id long, set binary").join(wanted, "id", "left_semi"), "shingle-sets")
+    sets = common.stored(docs.mapInArrow(common.lean(emit), "id long, set binary").join(wanted, "id", "left_semi"), "shingle-sets")
     # a pivot's documents are dealt to as many tasks as they fill blocks
     salts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
     members = pairs.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("doc"), "n").alias("salt"), "doc").join(sets.withColumnRenamed("id", "doc"), "doc").select("pivot", "salt", "doc", "set")
@@ -262,7 +262,7 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield done()
 
     both = members.unionByName(heads).repartition(common.partitions(spark), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.asc_nulls_first("doc"))
-    links = common.stored(both.mapInArrow(search, "a long, b long"), "shingle-links")
+    links = common.stored(both.mapInArrow(common.lean(search), "a long, b long"), "shingle-links")
     common.dropped(sets)
     return links
 

@@ -238,7 +238,7 @@ def _census(docs: DataFrame, parts: int, near: bool) -> DataFrame:
                 keys, halves, again, size = [], [], [], 0
         yield from flush()
 
-    return docs.mapInArrow(emit, common.DEALT)
+    return docs.mapInArrow(common.lean(emit), common.DEALT)
 
 
 def _places(rows: DataFrame, dtype: np.dtype, f, keep: tuple[str, ...], whole: bool = True) -> DataFrame:
@@ -346,7 +346,7 @@ def _variants(able: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return able.mapInArrow(emit, _CANDIDATES)
+    return able.mapInArrow(common.lean(emit), _CANDIDATES)
 
 
 def _near(docs: DataFrame, census: DataFrame, parts: int) -> DataFrame:
@@ -369,7 +369,7 @@ def _near(docs: DataFrame, census: DataFrame, parts: int) -> DataFrame:
                 ok.append(min(len(x), len(y)) >= NEAR - 1 and max(len(x), len(y)) >= NEAR and within_one(x, y))
             yield pa.RecordBatch.from_arrays(list(b.columns[:2]), ["row", "line"]).filter(pa.array(ok, pa.bool_()))
 
-    near = common.stored(pairs.mapInArrow(verify, "row long, line int"), "line-near")
+    near = common.stored(pairs.mapInArrow(common.lean(verify), "row long, line int"), "line-near")
     common.dropped(found)
     return near
 
@@ -425,7 +425,7 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, text: str = "text", n_line
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*[f.name for f in fields], "n", "removed"])
 
     out = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("removed", T.LongType())])
-    return rows.mapInArrow(drop, out).toDF(*names, n_lines, n_removed)
+    return rows.mapInArrow(common.lean(drop), out).toDF(*names, n_lines, n_removed)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

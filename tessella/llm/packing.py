@@ -155,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         if ids:
             yield from done()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(pack, f"{SCHEMA}, round long, bin long, offset long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(common.lean(pack, "tokens"), f"{SCHEMA}, round long, bin long, offset long")
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from . import common
+
 #: Chunks longer than this, or more than this many, are not remembered.
 LONGEST, MOST = 64, 800_000
 #: How the vocabulary writes the end of a word.
@@ -28,6 +30,7 @@ _LETTER = np.array([bool(_WORD.fullmatch(chr(i))) for i in range(256)])
 _BLANK = np.array([i in b" \n" for i in range(256)])
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
+common.CACHES["tokens"] = _encoders.clear
 
 
 def default_path() -> str:

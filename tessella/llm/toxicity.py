@@ -174,7 +174,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
     n, n1 = totals["n"], totals["n1"]
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n - n1 + 1))
     surety = F.abs(odds) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    counts = rows.mapInArrow(count, "t long, n0 long, n1 long").groupBy("t").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = rows.mapInArrow(common.lean(count), "t long, n0 long, n1 long").groupBy("t").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     best = counts.where(F.col("n0") + F.col("n1") >= LEAST_DF).withColumn("z", surety).where("z > 2.5").orderBy(F.desc("z"), "t").limit(features)
     index = {r["t"]: i for i, r in enumerate(best.select("t").collect())}
     blank = Machine(index, 0.0, np.zeros(0), np.zeros((0, 0)))
@@ -189,7 +189,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary())], ["y", "at"])
 
     # the driver holds terms as bytes, four each
-    table = rows.mapInArrow(active, "y int, at binary").toArrow()
+    table = rows.mapInArrow(common.lean(active), "y int, at binary").toArrow()
     got = sorted(zip(table.column("y").to_pylist(), table.column("at").to_pylist(), strict=True))  # the fit is the same however the rows were dealt
     del table
     common.dropped(rows)
@@ -212,7 +212,7 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text", into: str = "_
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(shared.value.scores(rows), pa.float64())], [*names, "score"])
 
     out = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(score, out).toDF(*columns, into)
+    return docs.mapInArrow(common.lean(score), out).toDF(*columns, into)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

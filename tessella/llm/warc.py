@@ -302,4 +302,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), b.column(1), b.column(5)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     rows = read(spark, path).select("page_id", "record_type", "payload_bytes", "payload_digest", "payload", "refers_to")
-    return rows.mapInArrow(check, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return rows.mapInArrow(common.lean(check), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

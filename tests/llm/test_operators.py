@@ -448,6 +448,15 @@ def test_op6_in_rounds(spark, sf, docs, monkeypatch):
     assert [suffixdedup.census_bits(n << 30) for n in (0, 1, 2, 3, 4, 8, 100)] == [27, 27, 28, 29, 29, 30, 30]
 
 
+def test_workers_forget_other_operators():
+    """A task keeps its own operator's cache, drops the others' and gives memory back when it ends."""
+    tokens.encoder(tokens.default_path())
+    decontaminate._machine("x", [], 10)
+    seen = lambda batches: ((len(tokens._encoders), len(decontaminate._machines)) for _ in batches)
+    assert list(common.lean(seen, "tokens")([1])) == [(1, 0)]
+    assert list(common.lean(seen)([1])) == [(0, 0)]
+
+
 @pytest.mark.parametrize("bits", [17, 19])
 def test_census_filters_are_sparse(spark, bits):
     """What two tasks have is found; of others fewer pass than a bitmap with one bit each lets through."""
