@@ -39,6 +39,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,17 +135,15 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
-    """(ids, sets) of a few documents at a time."""
+def _batches(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """(ids, sets) of a few documents at a time: of ``size`` bytes, or of one longer one."""
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
-        while at < len(ids):
-            to, n = at, 0
-            while to < len(ids) and n < size:
-                n += len(texts[to] or "")
-                to += 1
-            yield ids[at:to], shingle_sets(texts[at:to])
+        while at < b.num_rows:
+            to = min(b.num_rows, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)) + 1)
+            some = b.slice(at, to - at)
+            yield some.column(0).to_pylist(), shingle_sets(some.column(1).to_pylist())
             at = to
 
 
@@ -277,6 +276,12 @@ def _fits(x: str, y: str) -> Column:
 
 def classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    # every plan with Python has run when this returns
+    with common.small_batches(docs.sparkSession):
+        return _classes(docs, text, frequent)
+
+
+def _classes(docs: DataFrame, text: str, frequent: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(common.Census.levels(_census(rows)))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -457,6 +458,56 @@ def test_workers_forget_other_operators():
     assert list(common.lean(seen)([1])) == [(0, 0)]
 
 
+def peak(f):
+    """MB that ``f`` holds at most beside what was held before."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_census_holds_little_beside_its_hashes():
+    """24 MB of hashes are joined and sorted in place, not copied several times; their counts are right."""
+    h = common.mixed(np.arange(100_000, dtype=np.uint64))
+    held, out = common.Census(), []
+    for _ in range(30):
+        assert not list(held.add(h))
+    assert peak(lambda: out.extend(held.flush())) < 60
+    part, known = common.Census.address(h, held.bits)
+    want = set(zip(part.tolist(), known.tolist(), strict=True))
+    (b,) = out
+    got = [(p, x, n) for p, x, n in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert {(p, i) for p, x, _ in got for i in np.frombuffer(x, dtype=np.uint32).tolist()} == want
+    assert sum(len(x) for _, x, _ in got) == 4 * len(want) and sum(np.frombuffer(n, dtype=np.uint16).sum() for *_, n in got) == 30 * h.size
+
+
+def test_shingles_are_made_of_few_texts_at_a_time():
+    texts = ["word " * 400, None, "", "é " * 1500] * 1000 + ["x y " * 300_000, "a b"]
+    ids = [*range(len(texts) - 1), None]
+    b = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = []
+    assert peak(lambda: [got.append(i) for some, sets in jaccard._batches(iter([b.slice(0, 4000)])) for i, _ in zip(some, sets, strict=True)]) < 60
+    for some, sets in jaccard._batches(iter([b.slice(4000), b.slice(0, 0)])):
+        got += some
+        assert [x.size for x in sets] == [jaccard.shingle_sets([texts[-1 if i is None else i]])[0].size for i in some]
+    assert got == ids
+
+
+def test_op7_batches_are_small(spark, sf, monkeypatch):
+    """All that the join runs goes to Python in batches of few bytes; the session's own limit comes back."""
+    key, seen, was = "spark.sql.execution.arrow.maxBytesPerBatch", [], common.stored
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    rows = spark.range(4000, numPartitions=1).select("id", F.repeat(F.lit("x"), 5000).alias("text"))
+    with common.small_batches(spark, 1 << 20):
+        assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) < 1.1 * (1 << 20)
+    before = spark.conf.get(key)
+    monkeypatch.setattr(common, "stored", lambda df, *a: (seen.append(spark.conf.get(key)), was(df, *a))[1])
+    jaccard.op7_jaccard(spark, sf).collect()
+    assert set(seen) == {str(common.BATCH)} and spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("bits", [17, 19])
 def test_census_filters_are_sparse(spark, bits):
     """What two tasks have is found; of others fewer pass than a bitmap with one bit each lets through."""
