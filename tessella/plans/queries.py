@@ -836,8 +836,8 @@ def z5_drift(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST((rn - 1) // 50 AS BIGINT) AS batch, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events) GROUP BY 1")
 def z6_flushes(spark: SparkSession, d: str) -> DataFrame:
     e = scan.read_rows(spark, _path(d, "events"))
-    sized = e.select("event_id", batching.row_size(e.select("event_id", "value").schema).alias("bytes"), F.col("_metadata.file_path").alias("file"))
-    return batching.flushes(sized, "event_id", "bytes", 50, 1 << 26, "file").groupBy("part", "batch").agg(F.count("*").alias("n"), F.min("at").alias("first_id")).drop("part")
+    sized = scan.numbered(e).select("event_id", batching.row_size(e.select("event_id", "value").schema).alias("bytes"), "file", "row_index")
+    return batching.flushes(sized, "event_id", "bytes", 50, 1 << 26, "file", "row_index").groupBy("part", "batch").agg(F.count("*").alias("n"), F.min("at").alias("first_id")).drop("part")
 
 
 @query(f"SELECT greatest(10, 104857600 // CAST(floor(avg({_DOC_SIZE})) AS BIGINT)) AS batch_size FROM documents")
